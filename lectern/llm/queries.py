@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import mixing
+from lectern.llm import mixing, near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,5 +19,12 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_mix": op1_mix}
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_mix": op1_mix,
+    "op2_near_vectors": op2_near_vectors,
+}
 ORACLES: dict[str, str] = {"op1_mix": mixing.MIX_SQL}
