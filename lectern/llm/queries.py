@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import mixing, near_vectors
+from lectern.llm import mixing, near_vectors, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +24,13 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix": op1_mix,
     "op2_near_vectors": op2_near_vectors,
+    "op8_topk": op8_topk,
 }
-ORACLES: dict[str, str] = {"op1_mix": mixing.MIX_SQL}
+ORACLES: dict[str, str] = {"op1_mix": mixing.MIX_SQL, "op8_topk": topk.TOPK_SQL}
