@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import mixing, near_vectors, topk
+from lectern.llm import mixing, near_vectors, token_counts, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,17 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def vocabulary() -> str:
+    """The byte-level BPE that the queries count and pack with, where the public tokenizers are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -31,6 +42,7 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mix": op1_mix,
     "op2_near_vectors": op2_near_vectors,
+    "op4_token_counts": op4_token_counts,
     "op8_topk": op8_topk,
 }
 ORACLES: dict[str, str] = {"op1_mix": mixing.MIX_SQL, "op8_topk": topk.TOPK_SQL}
