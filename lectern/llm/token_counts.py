@@ -47,8 +47,8 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> n
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + lengths.astype(np.uint64)
 
 
-def _count_block(bpe: BpeCounter, text: str, resets: np.ndarray, owner_ends: np.ndarray) -> tuple[np.ndarray, int]:
-    """Tokens by owner (owner k has the characters before owner_ends[k]); resets: characters outside all pre-tokens. Also the last place where a pre-token certainly starts."""
+def _count_block(bpe: BpeCounter, text: str, resets: np.ndarray, owner_ends: np.ndarray | None) -> tuple[np.ndarray, int]:
+    """Tokens by owner (owner k has the characters before owner_ends[k]); None: one, up to the place named next); resets: characters outside all pre-tokens. Also the last place where a pre-token certainly starts."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     classes = character_classes()[points]
     classes[resets] = RESET
@@ -64,7 +64,7 @@ def _count_block(bpe: BpeCounter, text: str, resets: np.ndarray, owner_ends: np.
     _, first, which = np.unique(_word_hashes(data, begin, length), return_index=True, return_inverse=True)
     tokens = bpe.counts(data, begin[first], length[first])[which]
     sums = np.concatenate([[0], np.cumsum(tokens)])
-    cut = np.searchsorted(starts, np.concatenate([[0], owner_ends]))
+    cut = np.searchsorted(starts, [0, last] if owner_ends is None else np.concatenate([[0], owner_ends]))
     return np.diff(sums[cut]), last
 
 
@@ -113,11 +113,11 @@ def _count_long(bpe: BpeCounter, text: str, block: int) -> int:
         some = text[at:end]
         if end == len(text):
             return total + int(_count_block(bpe, some, inside, np.array([len(some)]))[0][0])
-        last = _count_block(bpe, some, inside, np.array([len(some)]))[1]
+        count, last = _count_block(bpe, some, inside, None)
         if last == 0:  # one pre-token fills the block: take a larger one
             size *= 2
             continue
-        total += int(_count_block(bpe, text[at : at + last], inside[inside < last], np.array([last]))[0][0])
+        total += int(count[0])
         at, size = at + last, block
     return total
 
