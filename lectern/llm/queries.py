@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import mixing, near_vectors, packing, token_counts, topk
+from lectern.llm import mixing, near_vectors, packing, token_counts, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,11 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op2_near_vectors": op2_near_vectors,
     "op4_token_counts": op4_token_counts,
     "op5_pack": op5_pack,
+    "op7_toxicity": op7_toxicity,
     "op8_topk": op8_topk,
 }
 ORACLES: dict[str, str] = {"op1_mix": mixing.MIX_SQL, "op8_topk": topk.TOPK_SQL}
