@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import mixing, near_vectors, packing, token_counts, topk, toxicity
+from lectern.llm import mixing, near_vectors, ngram_join, packing, token_counts, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_texts(table(spark, sf_dir, "documents"))
+
+
 def vocabulary() -> str:
     """The byte-level BPE that the queries count and pack with, where the public tokenizers are installed."""
     import public_tokenizers
@@ -51,6 +55,7 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mix": op1_mix,
     "op2_near_vectors": op2_near_vectors,
+    "op3_ngram_join": op3_ngram_join,
     "op4_token_counts": op4_token_counts,
     "op5_pack": op5_pack,
     "op7_toxicity": op7_toxicity,
