@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import mixing, near_vectors, ngram_join, packing, token_counts, topk, toxicity
+from lectern.llm import mixing, near_vectors, ngram_join, packing, pii, token_counts, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,10 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix": op1_mix,
     "op2_near_vectors": op2_near_vectors,
@@ -60,5 +64,6 @@ QUERIES: dict[str, Query] = {
     "op5_pack": op5_pack,
     "op7_toxicity": op7_toxicity,
     "op8_topk": op8_topk,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {"op1_mix": mixing.MIX_SQL, "op8_topk": topk.TOPK_SQL}
