@@ -57,6 +57,8 @@ FOR_WORDS = {
 }
 AGAINST_WORDS = r"(?i)(?:\b(?:version|isbn|issn|sku|order|invoice|part|serial|id|no|figure|table|section|chapter)\b[\s.:#=-]*|[#=/\\\"'])$"
 CONTEXT = 32
+#: A candidate beside the base is a span if the classifier holds it for personal data with this probability.
+ACCEPT = 0.9
 LABELERS = ("check", "gazetteer", "context", "border")
 
 
@@ -208,7 +210,7 @@ def estimate(counts: dict[str, int], rounds: int = 100) -> dict[str, float]:
 def accepted_votes(found: DataFrame) -> list[str]:
     """The vote patterns of candidates beside the base that the classifier accepts, from all rows with __spans."""
     votes = found.select(F.explode("__spans.votes").alias("votes")).groupBy("votes").count().collect()
-    return sorted(k for k, p in estimate({r["votes"]: r["count"] for r in votes}).items() if p >= 0.5)
+    return sorted(k for k, p in estimate({r["votes"]: r["count"] for r in votes}).items() if p >= ACCEPT)
 
 
 def _final(accepted: list[str]) -> Column:
