@@ -56,3 +56,8 @@ def n_bytes(column: str):
 def crc_mod(column: str, modulus: int):
     """crc32 of an id written as decimal text, modulo; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def hash_share(share: float, *columns: str):
+    """Whether a row is in a sample of `share` of all rows, told by a hash of these columns; it needs no order and no exchange."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)).cast("double") < share * float(1 << 40)
