@@ -2,7 +2,7 @@
 
 Eight heuristics on length, words, letters, symbols, capitals and repetition each vote for good, for bad or not at all. The votes of
 all documents are counted by pattern, and expectation-maximisation estimates from these counts how reliable each heuristic is and
-how likely each pattern belongs to a good document. Those posteriors label a sample (at most ``SAMPLE_DOCS`` documents of
+how likely each pattern belongs to a good document. Those posteriors label a sample (some ``SAMPLE_DOCS`` documents of
 at most ``SAMPLE_BYTES`` bytes), on which a logistic scorer of hashed features of the text (shapes of words, repeated neighbours, and
 classes of length and variety) is trained. Every document is then scored on its whole text.
 
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._shared import WORD
+from lectern.llm._shared import WORD, hash_share
 from lectern.session import ship_package
 
 SAMPLE_DOCS, SAMPLE_BYTES = 4000, 32_768
@@ -146,8 +146,10 @@ def fitted(docs: DataFrame) -> QualityModel:
     votes = F.array(*[v.cast("int") for v in labellers(F.col("text")).values()])
     counts = {tuple(r["v"]): r["count"] for r in rows.select(votes.alias("v")).groupBy("v").count().collect()}  # at most 3**8 rows
     post = posteriors(counts)
-    sample = rows.filter(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE_DOCS)
-    sample = sample.select("text", votes.alias("v")).collect()
+    share = SAMPLE_DOCS / max(1, sum(counts.values()))
+    sample = rows.filter((F.octet_length("text") <= SAMPLE_BYTES) & hash_share(share, "doc_id", "text"))
+    sample = sample.select("text", votes.alias("v")).limit(2 * SAMPLE_DOCS).collect()  # the limit is for rows that are all equal
+    sample.sort(key=lambda r: zlib.crc32(r["text"].encode("utf-8", "surrogatepass")))
     return fit_scorer([r["text"] for r in sample], [post[tuple(r["v"])] for r in sample])
 
 

@@ -7,7 +7,7 @@ share of them than of other documents. The field is fitted to these by gradient
 forward-backward gives every token's marginal. A document's score is a logistic function of
 the summed evidence and of the strongest token, fitted on evidence that each half of the sample gets from a field fitted to the other; its spans are the runs of tokens whose marginal is above 1/2.
 
-The fit uses a sample bounded by ``PER_CLASS`` documents of each label and ``SAMPLE_BYTES`` bytes a text. Scoring uses
+The fit uses a sample of some ``PER_CLASS`` documents of each label (at most four times that) and ``SAMPLE_BYTES`` bytes a text. Scoring uses
 every token of every document; chains are cut after ``CHAIN`` tokens.
 
 Defined results: null and empty texts, and texts without letters, have no tokens and the score of no evidence;
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._shared import crc_mod
+from lectern.llm._shared import crc_mod, hash_share
 from lectern.session import ship_package
 
 FOLDS = 5
@@ -233,14 +233,13 @@ def _fit_field(docs: list[list[str]], label: np.ndarray, steps: int) -> ToxicMod
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """(text, toxic) of at most per_class labelled documents of each label, in the order of a hash, none of them held out."""
+    """(text, toxic) of some per_class labelled documents of each label, picked by a hash of their ids, none of them held out."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(crc_mod("doc_id", FOLDS) != HELD_OUT_FOLD)
-    picked = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class) for t in (0, 1)]
-    ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most 4 * per_class rows of two numbers
-    found = docs.select("doc_id", "text").filter(F.octet_length("text") <= most_bytes).join(ids, "doc_id")
-    parts = [found.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for t in (0, 1)]
-    return parts[0].unionByName(parts[1]).select("text", "toxic")
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    wanted = [(F.col("toxic") == t) & hash_share(1.25 * per_class / max(1, counts.get(t, 0)), "doc_id") for t in (0, 1)]
+    ids = F.broadcast(known.filter(wanted[0] | wanted[1]).limit(4 * per_class))  # rows of two numbers
+    return docs.select("doc_id", "text").filter(F.octet_length("text") <= most_bytes).join(ids, "doc_id").limit(4 * per_class).select("doc_id", "text", "toxic")
 
 
 def _score(shared):
@@ -288,7 +287,7 @@ def _spans(text: str, odds: np.ndarray) -> list[dict[str, int]]:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> ToxicModel:
-    sample = training_sample(docs, labels).collect()
+    sample = sorted(training_sample(docs, labels).collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))
     return fit_toxicity([r["text"] for r in sample], [r["toxic"] for r in sample])
 
 
