@@ -1,0 +1 @@
+"""A Spark-native engine for retrieval over document collections."""
