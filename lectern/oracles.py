@@ -284,11 +284,11 @@ WITH {_MERGE},
 kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_pos) - 1 AS idx FROM merged WHERE chunk_type IN ('toc', 'meta') OR length({body('content')}) >= 60 OR contains(content, '![') OR contains(lower(content), '<table')),
 rows_ AS (SELECT 'doc-' || md5(m.md_stem) AS full_doc_id, k.*, m.md_stem || '.md' AS file_path, p.* FROM kept k JOIN ({fixtures.MANUALS}) m USING (doc_id) JOIN ({fixtures.PRODUCTS}) p ON p.md_stem = m.md_stem),
 img AS (SELECT *, {chunk_images('content', 'full_doc_id')} AS images, {cleaned('content')} AS clean FROM rows_),
-done AS (SELECT *, {_FULL} AS full FROM img WHERE clean <> '')
-SELECT 'chunk-' || md5(full_doc_id || '|' || idx || '|' || full) AS chunk_id, CAST({tokens('full')} AS INTEGER) AS tokens, full AS content, CAST(idx AS INTEGER) AS chunk_order_index, full_doc_id, file_path,
-       array_to_string(images, '|') AS image_paths, product_id, series_id, display_name, section_title, section_number, section_path, chunk_type, manual_pdf AS source_pdf, md5(full) AS content_hash,
+done AS (SELECT *, {_FULL} AS entire FROM img WHERE clean <> '')
+SELECT 'chunk-' || md5(full_doc_id || '|' || idx || '|' || entire) AS chunk_id, CAST({tokens('entire')} AS INTEGER) AS tokens, entire AS content, CAST(idx AS INTEGER) AS chunk_order_index, full_doc_id, file_path,
+       array_to_string(images, '|') AS image_paths, product_id, series_id, display_name, section_title, section_number, section_path, chunk_type, manual_pdf AS source_pdf, md5(entire) AS content_hash,
        CAST(1700000000 AS BIGINT) AS create_time, CAST(1700000000 AS BIGINT) AS update_time
-FROM done WHERE {tokens('full')} >= 20 OR len(images) > 0 OR contains(lower(clean), '<table')"""
+FROM done WHERE {tokens('entire')} >= 20 OR len(images) > 0 OR contains(lower(clean), '<table')"""
 
 # --- ranking and context ----------------------------------------------------------------------------------------------
 

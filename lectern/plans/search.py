@@ -86,6 +86,8 @@ class Engine:
     def prepare(self, questions: DataFrame, subject: str, top_k: int | None = None, images: DataFrame | None = None) -> DataFrame:
         """questions (query_id, text, product_id, history) to state, prompt, sources and images of each."""
         hits = self.retrieve(questions.filter(T.strip(F.col("text")) != ""), top_k)
+        if "source" not in hits.columns:
+            hits = hits.withColumn("source", T.text(F.col("file_path")))
         shown = hits.select("query_id", F.col("rank").alias("chunk_rank"), "content", "section_title", F.posexplode(F.coalesce("image_paths", F.array().cast("array<string>"))).alias("pos", "rel_path"))
         sizes = images.select("rel_path", "width", "height") if images is not None else None
         shown = shown.join(sizes, "rel_path", "left") if sizes is not None else shown.withColumns({"width": F.lit(None).cast("int"), "height": F.lit(None).cast("int")})

@@ -25,7 +25,7 @@ class Collection:
         self._cached: dict[str, DataFrame] = {}
 
     def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
+        return f"{self.root}/{name}/current"
 
     def version(self, name: str) -> str | None:
         """The current version of a table, None if there is none."""
@@ -51,7 +51,7 @@ class Collection:
         self._point(name, version)
 
     def _point(self, name: str, version: str) -> None:
-        staged, final = self._path(f"{self.root}/{name}/_staged-{version}"), self._path(self._pointer(name))
+        staged, final = self._path(f"{self.root}/{name}/staged-{version}"), self._path(self._pointer(name))
         out = self._fs.create(staged, True)
         out.write(bytearray(version.encode()))
         out.close()
