@@ -136,13 +136,13 @@ class ToxicModel:
 
 
 def _without_near_copies(docs: list[list[str]]) -> list[int]:
-    """Positions of documents to fit on: of those that share two smallest word hashes of a kind, the first."""
+    """Positions of documents to fit on: of those that share four smallest hashes of neighbouring words, in one of four groups, the first."""
     seen: set[tuple] = set()
     kept = []
     for k, words in enumerate(docs):
-        h = np.array([zlib.crc32(w.encode()) for w in set(words)] or [0], np.uint64)
-        mins = [int(((h * np.uint64(2 * m + 0x9E3779B1)) & np.uint64(0xFFFFFFFF)).min()) for m in range(8)]
-        keys = [(m, mins[m], mins[m + 1]) for m in range(0, 8, 2)]
+        h = np.array([zlib.crc32(f"{a} {b}".encode()) for a, b in {*zip(words, words[1:])}] or [zlib.crc32(" ".join(words).encode())], np.uint64)  # noqa: B905
+        mins = [int(((h * np.uint64(2 * m + 0x9E3779B1)) & np.uint64(0xFFFFFFFF)).min()) for m in range(16)]
+        keys = [(m, *mins[m : m + 4]) for m in range(0, 16, 4)]
         if not any(key in seen for key in keys):
             kept.append(k)
         seen.update(keys)
@@ -194,11 +194,11 @@ def _fit_field(docs: list[list[str]], label: np.ndarray, steps: int) -> ToxicMod
     word = np.concatenate(tokens)
     truth = marked[word] & np.repeat(label, [len(w) for w in tokens])
     grid, length = _lanes(word, ends)
-    # chains without a toxic token are alike: as many of them as there are others, tenfold, are enough to fit on
+    # chains without a toxic token are alike: four times as many as there are others are enough to fit on
     y = np.where(grid >= 0, truth[grid], False)
     some = np.nonzero(y.any(axis=1))[0]
     rest = np.nonzero(~y.any(axis=1))[0]
-    rest = np.random.default_rng(7).permutation(rest)[: max(2000, 10 * len(some))]
+    rest = np.random.default_rng(7).permutation(rest)[: max(2000, 4 * len(some))]
     pick = np.concatenate([some, rest]).astype(int)
     grid, y = grid[pick], y[pick]
     real = grid >= 0
