@@ -92,5 +92,10 @@ def public_answer(answer: Column, images: Column, base: str = "") -> Column:
     return F.regexp_replace(shown, STORED_IMAGE, base.rstrip("/") + ROOT + "$1") if base else _bare(shown)
 
 
+def public_images(images: Column, base: str = "") -> Column:
+    """The fields of catalogue entries that a client needs, with addresses it can open."""
+    return F.transform(images, lambda e: F.struct(e["image_id"].alias("image_id"), public_url(e["display_url"], base).alias("display_url"), text(e["caption_hint"]).alias("caption_hint")))
+
+
 def _bare(c: Column) -> Column:
     return _rewritten(c, STORED_IMAGE, lambda m: F.concat(F.lit(ROOT), F.regexp_extract(m, STORED_IMAGE, 1)))

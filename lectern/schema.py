@@ -19,3 +19,4 @@ CHUNKS = _struct(
 VECTORS = _struct(chunk_id=_S, embedding=T.ArrayType(T.FloatType()))
 MANIFEST = _struct(product_id=_S, source_pdf=_S, full_doc_id=_S, chunk_ids=STRINGS, pdf_sha256=_S, pdf_mtime=_D)
 TOMBSTONES = _struct(chunk_id=_S)
+IMAGES = _struct(rel_path=_S, content=T.BinaryType())

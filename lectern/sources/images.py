@@ -58,3 +58,11 @@ def inline_parts(files: DataFrame, most: int = 5) -> DataFrame:
     rows = rows.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("pos"))).filter(F.col("n") <= most)
     part = F.struct("n", F.struct(mime_type(F.col("path")).alias("mimeType"), F.base64("content").alias("data")).alias("part"))
     return rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["part"]).alias("parts"))
+
+
+def referenced_images(chunks: DataFrame, root: str) -> DataFrame:
+    """(rel_path, content) of the files below root that chunks name in image_paths, for the collection's table of images."""
+    wanted = chunks.select(F.explode("image_paths").alias("path")).distinct().select(F.regexp_replace("path", "^images/", "").alias("rel_path"), F.element_at(F.split("path", "/"), -1).alias("name"))
+    files = chunks.sparkSession.read.format("binaryFile").options(recursiveFileLookup=True).load(root)
+    found = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "content").join(wanted, "name")
+    return found.groupBy("rel_path").agg(F.min_by("content", "path").alias("content"))

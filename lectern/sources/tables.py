@@ -82,6 +82,15 @@ class Collection:
         return {"vectors_ready": self.exists("vectors"), "terms_ready": chunks, "chunk_count": self.read("chunks", schema.CHUNKS).count() if chunks else 0}
 
 
+def collection_root(spark: SparkSession, root: str, names: tuple[str, ...] = ("chunks",)) -> str:
+    """Where the tables are: root, its folder `collection`, or, if root is such a folder's child, its parent; else root."""
+    root = root.rstrip("/")
+    for place in (root, f"{root}/collection", root.rsplit("/", 1)[0]):
+        if any(Collection(spark, place).exists(n) for n in names):
+            return place
+    return root
+
+
 def read_chunk_map(spark: SparkSession, path: str) -> DataFrame:
     """A JSON file of one object, id to record, as rows of the chunk table; anything but an object is an error."""
     kind = schema.CHUNKS

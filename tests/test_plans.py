@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from lectern import fixtures, providers, schema
+from lectern import api, fixtures, providers, schema
 from lectern.operators import ranking, sync
 from lectern.plans.ingest import ingest
 from lectern.plans.search import Engine
@@ -85,6 +85,33 @@ def test_retrieve_and_answer(spark, setup):
     assert plain.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 2
 
 
+def test_service(spark, setup):
+    folder, known, kb = setup
+    (folder / "md" / "images").mkdir()
+    (folder / "md" / "images" / "a.png").write_bytes(b"png")
+    built = engine(spark, setup)
+    kb.write("images", images.referenced_images(built.chunks, str(folder / "md" / "images")))
+    service = api.Service(spark, kb, lambda: built, providers.ExtractiveChat(), "使用指南", token="t", reindex=lambda: run(spark, folder, known, kb, only_changes=True))
+
+    def call(method, path, body=None, query="token=t"):
+        raw, said = json.dumps(body).encode() if body is not None else b"", []
+        out = b"".join(service.application({"REQUEST_METHOD": method, "PATH_INFO": path, "QUERY_STRING": query, "CONTENT_LENGTH": str(len(raw)), "wsgi.input": io.BytesIO(raw)}, lambda s, h: said.append(s)))
+        return said[0][:3], out
+
+    assert call("GET", "/api/v1/products", query="")[0] == "401"
+    assert len(json.loads(call("GET", "/api/v1/products")[1])) == 2
+    assert json.loads(call("GET", "/api/v1/kb/status")[1])["chunk_count"] == 3
+    assert json.loads(call("POST", "/api/v1/search", {"query": "导出报表", "top_k": 1})[1])[0]["title"] == "报表导出"
+    answer = json.loads(call("POST", "/api/v1/chat", {"question": "忘记密码怎么登录", "product_id": "p1", "history": [{"role": "user", "content": "你好"}]})[1])
+    assert answer["sources"] and answer["images"][0]["image_id"] == "图-1" and answer["images"][0]["display_url"].startswith("/kb_images/doc-")
+    assert call("GET", answer["images"][0]["display_url"]) == ("200", b"png")
+    assert json.loads(call("POST", "/api/v1/chat", {"question": " "})[1])["answer"] == api.BLANK
+    assert b"event: done" in call("POST", "/api/v1/chat/stream", {"question": "添加设备"})[1]
+    assert json.loads(call("POST", "/api/v1/admin/reindex", {})[1]) == {"ok": True, "products": {"unchanged": 2}}
+    assert call("GET", "/nowhere")[0] == "404"
+    assert tables.collection_root(spark, f"{kb.root}/chunks") == kb.root
+
+
 def test_reranker_that_fails_keeps_scores(spark):
     def broken():
         raise RuntimeError("no model")
