@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.transducers import RESET, BpeCounter, character_classes, counter, word_cuts
+from lectern.llm.wordhash import run_hashes
 from lectern.session import ship_package
 
 LIMIT = 1024
@@ -24,29 +25,6 @@ LIMIT = 1024
 BLOCK = 2_000_000
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
-
-
-_BASE = 0x2545F4914F6CDD1D
-_tables: dict[str, np.ndarray] = {}
-
-
-def _word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each run of bytes."""
-    n = len(data) + 1
-    if len(_tables.get("up", ())) < n:
-        size = 1 << n.bit_length()
-        _tables["up"], _tables["down"] = _powers(size, _BASE), _powers(size, pow(_BASE, -1, 1 << 64))
-        _tables["bytes"] = np.random.default_rng(17).integers(1, 1 << 63, 256).astype(np.uint64)
-    sums = np.zeros(n, np.uint64)
-    np.cumsum(_tables["bytes"][data] * _tables["up"][: n - 1], out=sums[1:])
-    h = (sums[starts + lengths] - sums[starts]) * _tables["down"][starts]
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + lengths.astype(np.uint64)
-
-
 def _count_block(bpe: BpeCounter, text: str, resets: np.ndarray, owner_ends: np.ndarray | None) -> tuple[np.ndarray, int]:
     """Tokens by owner (owner k has the characters before owner_ends[k]); None: one, up to the place named next); resets: characters outside all pre-tokens. Also the last place where a pre-token certainly starts."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -61,7 +39,7 @@ def _count_block(bpe: BpeCounter, text: str, resets: np.ndarray, owner_ends: np.
     sure = starts[starts < len(points) - 1]  # a cut before the very last character may only stem from the end
     last = int(sure[-1]) if len(sure) else 0
     starts, begin, length = starts[real], begin[real], length[real]
-    _, first, which = np.unique(_word_hashes(data, begin, length), return_index=True, return_inverse=True)
+    _, first, which = np.unique(run_hashes(data, begin, length), return_index=True, return_inverse=True)
     tokens = bpe.counts(data, begin[first], length[first])[which]
     sums = np.concatenate([[0], np.cumsum(tokens)])
     cut = np.searchsorted(starts, [0, last] if owner_ends is None else np.concatenate([[0], owner_ends]))
