@@ -22,10 +22,6 @@ from lectern.providers import ChatModel, chat_once
 from lectern.sources.tables import Collection
 from lectern.streaming.answers import answer_events, write_event
 
-BLANK = "请输入问题。"
-NO_RESULT = "未在{subject}中找到相关信息。请尝试换一种问法，或确认问题是否属于平台操作范围。"
-
-
 class Denied(Exception):
     """A request without the configured token."""
 
@@ -63,7 +59,7 @@ class Service:
         row = self.engine().prepare(self._asked(question, product_id, list(history)), self.subject).first()
         images = [i.asDict() for i in row["images"] or []]
         if row["state"] != "ready":
-            return {"answer": BLANK if row["state"] == "blank" else NO_RESULT.format(subject=self.subject), "sources": [], "images": []}
+            return {"answer": vocab.BLANK_QUESTION if row["state"] == "blank" else vocab.NO_RESULT.format(subject=self.subject), "sources": [], "images": []}
         said = chat_once(self.chat, self.system, row["prompt"])
         known = F.lit(None).cast("array<struct<image_id:string,display_url:string,caption_hint:string>>") if not images else F.array(*[F.struct(*[F.lit(i[k]).alias(k) for k in ("image_id", "display_url", "caption_hint")]) for i in images])
         known = F.coalesce(known, F.array().cast("array<struct<image_id:string,display_url:string,caption_hint:string>>"))
@@ -73,7 +69,7 @@ class Service:
     def answer_stream(self, question: str, product_id: str | None = None, history: list[dict[str, str]] = ()) -> Iterator[str]:
         try:
             ready = self.engine().prepare(self._asked(question, product_id, list(history)), self.subject)
-            yield from answer_events(ready, self.chat, self.system, NO_RESULT.format(subject=self.subject), BLANK)
+            yield from answer_events(ready, self.chat, self.system, vocab.NO_RESULT.format(subject=self.subject), vocab.BLANK_QUESTION)
         except Exception as e:  # told to the client, which is reading already
             yield write_event("error", {"message": str(e)})
 

@@ -45,18 +45,18 @@ def context(hits: DataFrame, catalog: DataFrame) -> DataFrame:
     rows = rows.withColumn("shown", shown).withColumn("body", T.strip(F.col("content")))
     rows = rows.withColumn("kept", (F.length("body") >= vocab.SHORT_CONTEXT) | (F.size("shown") > 0) | T.has_table(F.col("body")))
     hint = lambda e: F.when(e["caption_hint"] != "", F.concat(F.lit("（"), e["caption_hint"], F.lit("）"))).otherwise("")
-    line = lambda e: F.concat(F.lit("  - ["), e["image_id"], F.lit("] "), e["display_url"], hint(e), F.lit(" [随附视觉输入第"), e["vision_index"].cast("string"), F.lit("张]"))
-    block = F.when(F.size("shown") > 0, F.concat(F.lit("配图（回答中请用 [图-N] 占位符紧跟对应段落后插入，勿写 URL）:\n"), F.array_join(F.transform("shown", line), "\n"), F.lit("\n"))).otherwise("")
-    named = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("未知"))
+    line = lambda e: F.concat(F.lit("  - ["), e["image_id"], F.lit("] "), e["display_url"], hint(e), F.lit(vocab.IMAGE_PLACE), e["vision_index"].cast("string"), F.lit(vocab.IMAGE_PLACE_END))
+    block = F.when(F.size("shown") > 0, F.concat(F.lit(vocab.FRAGMENT_IMAGES), F.array_join(F.transform("shown", line), "\n"), F.lit("\n"))).otherwise("")
+    named = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit(vocab.UNKNOWN))
     part = F.concat(
-        F.format_string("--- 片段 %d ---\n产品: ", F.col("rank")), named(F.col("display_name")), F.lit("\n章节: "), named(F.col("section_title")),
-        F.format_string("\n相关度: %.3f\n", F.col("score")), block, F.lit("内容:\n"), F.col("body"), F.lit("\n"),
+        F.format_string(vocab.FRAGMENT_HEAD, F.col("rank")), named(F.col("display_name")), F.lit(vocab.FRAGMENT_SECTION), named(F.col("section_title")),
+        F.format_string(vocab.FRAGMENT_SCORE, F.col("score")), block, F.lit(vocab.FRAGMENT_BODY), F.col("body"), F.lit("\n"),
     )
     fragments = F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("rank", part.alias("part")))))
     out = rows.groupBy("query_id").agg(F.transform(fragments, lambda x: x["part"]).alias("parts"), F.first("catalog").alias("catalog"))
     ids = F.array_join(F.transform("catalog", lambda e: e["image_id"]), "、")
-    head = F.array(F.lit("以下片段按相关度排序，请围绕用户问题筛选整合，不必全部写入回答。\n"))
-    images = F.when(F.size("catalog") > 0, F.array(F.concat(F.format_string("随附视觉输入共 %d 张，顺序与编号一致：", F.size("catalog")), ids, F.lit("。\n")))).otherwise(F.array().cast("array<string>"))
+    head = F.array(F.lit(vocab.CONTEXT_HEAD))
+    images = F.when(F.size("catalog") > 0, F.array(F.concat(F.format_string(vocab.CONTEXT_IMAGES, F.size("catalog")), ids, F.lit("。\n")))).otherwise(F.array().cast("array<string>"))
     return out.select("query_id", F.array_join(F.concat(head, images, F.col("parts")), "\n").alias("context"))
 
 
@@ -82,15 +82,15 @@ def history(turns: DataFrame, last: int = vocab.HISTORY_TURNS) -> DataFrame:
 
 
 def display_name(product_id: Column, name: Column) -> Column:
-    return F.when(T.text(product_id) == "", "全部产品").otherwise(F.coalesce(name, product_id))
+    return F.when(T.text(product_id) == "", vocab.ALL_PRODUCTS).otherwise(F.coalesce(name, product_id))
 
 
 def user_prompt(question: Column, context_: Column, name: Column, history_: Column, subject: str) -> Column:
     """The user's part of a prompt about the manuals of `subject`; name: the chosen product's, or null."""
-    found = F.concat(F.lit(f"用户问题：\n"), question, F.lit(f"\n\n检索到的{subject}片段：\n"), context_)
-    general = F.concat(found, F.lit("\n\n请整合以上片段围绕用户问题作答。"))
-    chosen = F.concat(F.lit("当前选定文档："), name, F.lit("\n\n"), found, F.lit("\n\n请整合以上片段（及随附图片，如有）围绕用户问题作答。引用处在句末标注 *(章节: xxx)*。"))
-    past = F.when(T.text(history_) != "", F.concat(F.lit("\n\n对话历史：\n"), history_)).otherwise("")
+    found = F.concat(F.lit(vocab.ASK), question, F.lit(vocab.ASK_FRAGMENTS.format(subject=subject)), context_)
+    general = F.concat(found, F.lit(vocab.ASK_END))
+    chosen = F.concat(F.lit(vocab.ASK_PRODUCT), name, F.lit("\n\n"), found, F.lit(vocab.ASK_PRODUCT_END))
+    past = F.when(T.text(history_) != "", F.concat(F.lit(vocab.ASK_HISTORY), history_)).otherwise("")
     return F.concat(F.when(name.isNotNull(), chosen).otherwise(general), past)
 
 

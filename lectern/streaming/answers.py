@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern import vocab
 from lectern.functions.frames import frames
 from lectern.providers import ChatModel, chat_stream
 
@@ -17,7 +18,7 @@ def write_event(name: str, payload: Any) -> str:
     return f"event: {name}\ndata: {json.dumps(payload, ensure_ascii=False)}\n\n"
 
 
-def answer_events(prepared: DataFrame, model: ChatModel, system: str, no_result: str, blank: str = "请输入问题。") -> Iterator[str]:
+def answer_events(prepared: DataFrame, model: ChatModel, system: str, no_result: str, blank: str = vocab.BLANK_QUESTION) -> Iterator[str]:
     """For each prepared question: an event with sources and images, the answer in pieces, and an end."""
     for row in prepared.toLocalIterator():
         meta = {"query_id": row["query_id"], "sources": [s.asDict() for s in row["sources"] or []], "images": [i.asDict() for i in row["images"] or []]}

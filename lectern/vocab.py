@@ -92,3 +92,16 @@ SHORT_BODY, SHORT_CONTEXT = 80, 60
 MIN_IMAGE_SIDE, MAX_IMAGES = 80, 5
 HISTORY_TURNS = 6
 SNIPPET_CHARS, RESPONSE_CHARS = 300, 500
+# Wording of the context that a model is shown, of its prompts, and of answers without one.
+CONTEXT_HEAD = "以下片段按相关度排序，请围绕用户问题筛选整合，不必全部写入回答。\n"
+CONTEXT_IMAGES = "随附视觉输入共 %d 张，顺序与编号一致："
+FRAGMENT_IMAGES = "配图（回答中请用 [图-N] 占位符紧跟对应段落后插入，勿写 URL）:\n"
+FRAGMENT_HEAD, FRAGMENT_SECTION, FRAGMENT_SCORE, FRAGMENT_BODY = "--- 片段 %d ---\n产品: ", "\n章节: ", "\n相关度: %.3f\n", "内容:\n"
+IMAGE_PLACE, IMAGE_PLACE_END = " [随附视觉输入第", "张]"
+UNKNOWN, ALL_PRODUCTS = "未知", "全部产品"
+ASK, ASK_FRAGMENTS, ASK_PRODUCT = "用户问题：\n", "\n\n检索到的{subject}片段：\n", "当前选定文档："
+ASK_END = "\n\n请整合以上片段围绕用户问题作答。"
+ASK_PRODUCT_END = "\n\n请整合以上片段（及随附图片，如有）围绕用户问题作答。引用处在句末标注 *(章节: xxx)*。"
+ASK_HISTORY = "\n\n对话历史：\n"
+BLANK_QUESTION = "请输入问题。"
+NO_RESULT = "未在{subject}中找到相关信息。请尝试换一种问法，或确认问题是否属于平台操作范围。"

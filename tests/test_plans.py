@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from lectern import api, fixtures, providers, schema
+from lectern import api, fixtures, providers, schema, vocab
 from lectern.operators import ranking, sync
 from lectern.plans.ingest import ingest
 from lectern.plans.search import Engine
@@ -105,7 +105,7 @@ def test_service(spark, setup):
     answer = json.loads(call("POST", "/api/v1/chat", {"question": "忘记密码怎么登录", "product_id": "p1", "history": [{"role": "user", "content": "你好"}]})[1])
     assert answer["sources"] and answer["images"][0]["image_id"] == "图-1" and answer["images"][0]["display_url"].startswith("/kb_images/doc-")
     assert call("GET", answer["images"][0]["display_url"]) == ("200", b"png")
-    assert json.loads(call("POST", "/api/v1/chat", {"question": " "})[1])["answer"] == api.BLANK
+    assert json.loads(call("POST", "/api/v1/chat", {"question": " "})[1])["answer"] == vocab.BLANK_QUESTION
     assert b"event: done" in call("POST", "/api/v1/chat/stream", {"question": "添加设备"})[1]
     assert json.loads(call("POST", "/api/v1/admin/reindex", {})[1]) == {"ok": True, "products": {"unchanged": 2}}
     assert call("GET", "/nowhere")[0] == "404"
