@@ -33,13 +33,13 @@ from lectern.session import ship_package
 
 FOLDS = 5
 HELD_OUT_FOLD = 0
-PER_CLASS = 2000
+PER_CLASS = 1500
 SAMPLE_BYTES = 32_768
 CHAIN = 128
 BITS = 18
 #: A feature marks toxicity if it is found in so many toxic documents, in such a share of them, and in so many times the share of others.
 LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.02, 20.0
-STEPS = 50
+STEPS = 40
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _N_FEATURES = 6
@@ -135,39 +135,40 @@ class ToxicModel:
         return _sigmoid(self.evidence(odds, ends) @ np.array(self.logistic))
 
 
-def _without_near_copies(docs: list[list[str]]) -> list[int]:
-    """Positions of documents to fit on: of those that share four smallest hashes of neighbouring words, in one of four groups, the first."""
-    seen: set[tuple] = set()
-    kept = []
-    for k, words in enumerate(docs):
-        h = np.array([zlib.crc32(f"{a} {b}".encode()) for a, b in {*zip(words, words[1:])}] or [zlib.crc32(" ".join(words).encode())], np.uint64)  # noqa: B905
-        mins = [int(((h * np.uint64(2 * m + 0x9E3779B1)) & np.uint64(0xFFFFFFFF)).min()) for m in range(16)]
-        keys = [(m, *mins[m : m + 4]) for m in range(0, 16, 4)]
-        if not any(key in seen for key in keys):
-            kept.append(k)
-        seen.update(keys)
-    return kept
+def _near_copy_keys(words: list[str]) -> list[tuple]:
+    """Four groups of four smallest hashes of neighbouring words; near copies share one of them, other documents hardly ever."""
+    h = np.array([zlib.crc32(f"{a} {b}".encode()) for a, b in {*zip(words, words[1:])}] or [zlib.crc32(" ".join(words).encode())], np.uint64)  # noqa: B905
+    mins = [int(((h * np.uint64(2 * m + 0x9E3779B1)) & np.uint64(0xFFFFFFFF)).min()) for m in range(16)]
+    return [(m, *mins[m : m + 4]) for m in range(0, 16, 4)]
 
 
 def fit_toxicity(texts: list[str], toxic: list[int], steps: int = STEPS) -> ToxicModel:
-    """The field and the documents' logistic, fitted to labelled documents."""
-    docs = [words_of(t) for t in texts]
-    kept = _without_near_copies(docs)
-    label = np.array([toxic[k] for k in kept], bool)
-    docs = [docs[k] for k in kept]
+    """The field and the documents' logistic, fitted to labelled documents; of near copies the first counts."""
+    seen: set[tuple] = set()
+    ids: dict[str, int] = {}
+    tokens, kept = [], []
+    for text, bad in zip(texts, toxic, strict=True):
+        words = words_of(text)
+        keys = _near_copy_keys(words)
+        if not any(key in seen for key in keys):
+            tokens.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words)))
+            kept.append(bool(bad))
+        seen.update(keys)
+    label = np.array(kept, bool)
     if not label.any() or label.all():
         return ToxicModel(constant=float(sum(toxic)) / max(len(toxic), 1))
-    model = _fit_field(docs, label, steps)
-    half = np.arange(len(docs)) % 2 == 0
-    x = np.empty((len(docs), 3))
+    feats = np.array([features(w) for w in ids] or [[0] * _N_FEATURES], np.int32)
+    del ids, seen
+    model = _fit_field(tokens, feats, label, steps)
+    half = np.arange(len(tokens)) % 2 == 0
+    x = np.empty((len(tokens), 3))
     for side in (half, ~half):
-        other = [w for w, s in zip(docs, side, strict=True) if not s]
-        field_ = _fit_field(other, label[~side], steps) if label[~side].any() else model
-        some = [w for w, s in zip(docs, side, strict=True) if s]
+        other = [w for w, s in zip(tokens, side, strict=True) if not s]
+        field_ = _fit_field(other, feats, label[~side], steps) if label[~side].any() else model
+        some = [w for w, s in zip(tokens, side, strict=True) if s]
         ends = np.cumsum([len(w) for w in some], dtype=np.int64)
-        known: dict[str, float] = {}
-        unary = np.array([known[w] if w in known else known.setdefault(w, field_.unary(w)) for words in some for w in words])
-        x[side] = field_.evidence(field_.marginals(unary, ends), ends)
+        by_word = field_.weights[feats].sum(axis=1) + field_.bias
+        x[side] = field_.evidence(field_.marginals(by_word[np.concatenate(some)], ends), ends)
     coef = np.zeros(3)
     for _ in range(30):
         p = _sigmoid(x @ coef)
@@ -177,11 +178,8 @@ def fit_toxicity(texts: list[str], toxic: list[int], steps: int = STEPS) -> Toxi
     return model
 
 
-def _fit_field(docs: list[list[str]], label: np.ndarray, steps: int) -> ToxicModel:
-    """Weights of the field; docs: lower-case words of documents, label: whether each is toxic."""
-    ids: dict[str, int] = {}
-    tokens = [np.array([ids.setdefault(w, len(ids)) for w in words], np.int64) for words in docs]
-    feats = np.array([features(w) for w in ids] or [[0] * _N_FEATURES], np.int64)
+def _fit_field(tokens: list[np.ndarray], feats: np.ndarray, label: np.ndarray, steps: int) -> ToxicModel:
+    """Weights of the field; tokens: word ids of documents, feats: each word's features, label: whether each document is toxic."""
     size = 1 << BITS
     seen = np.zeros((2, size))
     for words, bad in zip(tokens, label, strict=True):
@@ -193,38 +191,21 @@ def _fit_field(docs: list[list[str]], label: np.ndarray, steps: int) -> ToxicMod
     ends = np.cumsum([len(w) for w in tokens])
     word = np.concatenate(tokens)
     truth = marked[word] & np.repeat(label, [len(w) for w in tokens])
-    grid, length = _lanes(word, ends)
+    grid = _lanes(word, ends)[0].astype(np.int32)
     # chains without a toxic token are alike: four times as many as there are others are enough to fit on
-    y = np.where(grid >= 0, truth[grid], False)
-    some = np.nonzero(y.any(axis=1))[0]
-    rest = np.nonzero(~y.any(axis=1))[0]
-    rest = np.random.default_rng(7).permutation(rest)[: max(2000, 4 * len(some))]
-    pick = np.concatenate([some, rest]).astype(int)
-    grid, y = grid[pick], y[pick]
-    real = grid >= 0
-    pair = real[:, 1:]
-    w_at = word[grid[real]]
+    bad = np.where(grid >= 0, truth[grid], False).any(axis=1)
+    rest = np.random.default_rng(7).permutation(np.nonzero(~bad)[0])[: max(2000, 4 * bad.sum())]
+    grid = grid[np.concatenate([np.nonzero(bad)[0], rest]).astype(int)]
     model = ToxicModel()
     params = np.concatenate([np.zeros(size), [model.bias], [0.0, 0.0, 0.0]])
     first, second = np.zeros_like(params), np.zeros_like(params)
-    n = real.sum()
+    n = (grid >= 0).sum()
     for step in range(1, steps + 1):
-        by_word = params[feats].sum(axis=1) + params[size]
-        stay, enter, leave = params[size + 1 :]
-        odds, fore, back = forward_backward(by_word[word], grid, stay, enter, leave)
-        off = (_sigmoid(odds) - y)[real]
-        grad = np.zeros_like(params)
-        np.add.at(grad, feats, np.bincount(w_at, off, len(feats))[:, None])
-        grad[size] = off.sum()
-        u = np.where(real, by_word[word][grid], 0.0)
-        later = back[:, 1:] + u[:, 1:]
-        now = fore[:, :-1]
-        joint = np.stack([now + stay + later, enter + later, now + leave, np.zeros_like(now)])
-        joint = np.exp(joint - joint.max(axis=0))
-        joint /= joint.sum(axis=0)
-        a, b = y[:, :-1], y[:, 1:]
-        for k, hit in enumerate((a & b, ~a & b, a & ~b)):
-            grad[size + 1 + k] = (joint[k] - hit)[pair].sum()
+        unary = (params[feats].sum(axis=1) + params[size])[word]
+        grad, by_word = np.zeros_like(params), np.zeros(len(feats))
+        for at in range(0, len(grid), 2048):
+            _add_gradient(grid[at : at + 2048], unary, truth, word, params[size + 1 :], by_word, grad[size:])
+        np.add.at(grad, feats, by_word[:, None])
         grad = grad / n * 1000 + 1e-4 * params
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         params -= 0.25 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
@@ -232,6 +213,25 @@ def _fit_field(docs: list[list[str]], label: np.ndarray, steps: int) -> ToxicMod
     return model
 
 
+def _add_gradient(grid: np.ndarray, unary: np.ndarray, truth: np.ndarray, word: np.ndarray, chain: np.ndarray, by_word: np.ndarray, other: np.ndarray) -> None:
+    """Add the gradient of some chains to by_word (of words) and other (bias, stay, enter, leave)."""
+    stay, enter, leave = chain
+    odds, fore, back = forward_backward(unary, grid, stay, enter, leave)
+    real = grid >= 0
+    y = np.where(real, truth[grid], False)
+    off = (_sigmoid(odds) - y)[real]
+    by_word += np.bincount(word[grid[real]], off, len(by_word))
+    other[0] += off.sum()
+    later = back[:, 1:] + np.where(real, unary[grid], 0.0)[:, 1:]
+    now = fore[:, :-1]
+    joint = np.stack([now + stay + later, enter + later, now + leave, np.zeros_like(now)])
+    joint = np.exp(joint - joint.max(axis=0))
+    joint /= joint.sum(axis=0)
+    a, b = y[:, :-1], y[:, 1:]
+    for k, hit in enumerate((a & b, ~a & b, a & ~b)):
+        other[1 + k] += (joint[k] - hit)[real[:, 1:]].sum()
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(text, toxic) of some per_class labelled documents of each label, picked by a hash of their ids, none of them held out."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
