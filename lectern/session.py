@@ -11,10 +11,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch: texts of some kilobytes each are exchanged with Python a few megabytes at a time.
+BATCH_ROWS = 1500
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application, wherever the driver was started."""
+    """Make this package importable in Python workers, once per application, wherever the driver was started; keep Arrow batches small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
