@@ -42,7 +42,7 @@ BLOCK = 1024
 #: Shingles of a block of a group that is verified.
 BLOCK_SHINGLES = 1_000_000
 #: Characters of text hashed at once.
-PIECE = 2_000_000
+PIECE = 500_000
 
 
 def prefix_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:

@@ -248,7 +248,7 @@ def _score(shared):
 
         class Known(dict):
             def __missing__(self, word: str) -> float:
-                if len(self) > 1_000_000:
+                if len(self) > 300_000:
                     self.clear()
                 value = self[word] = model.unary(word)
                 return value
