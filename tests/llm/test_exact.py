@@ -277,3 +277,27 @@ def test_pipeline(spark):
         if name in ("toxicity", "near-duplicates"):
             assert docs.count() == docs.select("doc_id").distinct().count() <= before.count()
     assert corpus_pipeline.run(spark, SF_SMALL).count() > 0
+
+
+def test_context_counts_grow_with_the_words():
+    """More distinct contexts than count_slots() has slots: each keeps its own counts, whatever else is counted."""
+    rng = random.Random(12)
+    many = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(10)) for _ in range(120_000)]
+    tokens = context_mixing.Tokens([" ".join(["zebra zebra", *many]).encode()])
+    pairs, n = context_mixing.pair_counts(tokens, np.bincount(tokens.which))
+    assert len(pairs) > 1 << context_mixing.SLOT_BITS
+    followed = collections.Counter()
+    for word in ["zebra", "zebra", *many]:
+        padded = "\n" * 5 + word + " "
+        followed.update((padded[k - 5 : k], padded[k]) for k in range(5, len(padded)))
+    counts = context_mixing.Counts(pairs, n)
+    five = lambda c: np.array([3 << 48 | int.from_bytes(c.encode(), "little")], np.uint64)
+    for before, symbol in [("zebra", " "), ("\nzebr", "a"), *rng.sample(sorted(followed), 300)]:
+        found = counts.odds(five(before), np.array([ord(symbol)], np.uint8))[0]
+        after = {ord(s): k for s in map(chr, range(256)) if (k := followed[before, s])}
+        for bit in range(8):
+            same_start = {s: k for s, k in after.items() if s >> (8 - bit) == ord(symbol) >> (8 - bit)}
+            ones = sum(k for s, k in same_start.items() if s >> (7 - bit) & 1)
+            zeros = sum(same_start.values()) - ones
+            assert found[bit] == np.clip(np.rint(np.log((ones + 0.4) / (zeros + 0.4)) * context_mixing.SCALE), -127, 127)
+    assert not counts.odds(five("qqqq~"), np.array([65], np.uint8)).any()
