@@ -10,9 +10,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lectern.llm import components, context_mixing, lm_scoring, mixing, near_vectors, ngram_join, packing, pii, quality, token_counts, topk, toxicity
+from lectern.llm import components, lm_scoring, mixing, near_vectors, ngram_join, packing, pii, quality, token_counts, topk, toxicity
 from lectern.llm.queries import ORACLES, QUERIES, table
 from lectern.llm.transducers import counter
 from tests.conftest import SF_SMALL
@@ -159,18 +160,6 @@ def test_base_score_and_bits(spark):
         assert r["score"] < 0
 
 
-def test_spelling_is_a_distribution():
-    """Over all next bytes, the probabilities of one-letter continuations add up to 1 with those of longer words left out."""
-    tokens = context_mixing.Tokens([b"ab ac abc b ba", b"ab ab"])
-    counts = np.zeros((context_mixing.CONTEXTS, 2 << context_mixing.SLOT_BITS), np.int64)
-    context_mixing.count_slots(tokens, np.bincount(tokens.which, minlength=len(tokens.keys)), counts)
-    table_, weights = context_mixing.odds_table(counts), context_mixing.start_weights()
-    letters = [bytes([b]) for b in range(256) if b not in (9, 10, 11, 12, 13, 32) and not 65 <= b <= 90]
-    every = context_mixing.Tokens([b" ".join(letters)])
-    spelled = context_mixing.spell(every, np.arange(len(every.keys)), table_, weights)
-    assert (np.exp(spelled).sum(axis=1) < 1).all() and (spelled < 0).all()
-
-
 def test_toxic_spans(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(300)]
@@ -252,17 +241,42 @@ def test_redaction_changes_nothing_else(spark):
     assert [tuple(r) for r in pii.redacted(docs).orderBy("doc_id").collect()] == [(1, "mail [EMAIL] now", 16), (2, "nothing here", 12), (3, None, None)]
 
 
+def best_rows(ids, x, asked, k=5):
+    """Brute force over Python's whole numbers."""
+    out = {}
+    for i in asked:
+        score = {j: sum(a * b for a, b in zip(x[j], x[i], strict=True)) for j in range(len(x)) if ids[j] != ids[i] and len(x[j]) == len(x[i])}
+        out[ids[i]] = [(ids[j], score[j]) for j in sorted(score, key=lambda j: (-score[j], ids[j]))[:k]]
+    return out
+
+
 def test_top_inner_products_prune_but_miss_nothing():
     rng = np.random.default_rng(10)
-    x = rng.integers(-20, 20, size=(900, 8))
+    x = rng.integers(-20, 20, size=(900, 8)).astype(float)
     x[100:300] = x[100]
-    q = x[::50]
-    ids, q_ids = np.arange(900), np.arange(900)[::50]
-    at, found, score = topk.search_block(ids, x, q_ids, q, np.full(len(q), -np.inf), 5)
-    for k, i in enumerate(q_ids):
-        s = x @ q[k]
-        best = [j for j in np.lexsort((ids, -s)) if j != i][:5]
-        assert found[at == k].tolist() == best and score[at == k].tolist() == s[best].tolist()
+    at, found, score = topk.Shard(np.arange(900), x).search(np.arange(0, 900, 50), x[::50], np.full(18, topk.LOW - 1), 5)
+    for k, (i, best) in enumerate(best_rows(range(900), x.tolist(), range(0, 900, 50)).items()):
+        assert i == 50 * k and list(zip(found[at == k].tolist(), score[at == k].tolist(), strict=True)) == best
+
+
+@pytest.mark.parametrize("shard", [50, 100_000])
+def test_top_inner_products_over_rounds(spark, monkeypatch, shard):
+    """Ties across shards, all rounds, large components, and columns of clashing names."""
+    monkeypatch.setattr(topk, "SHARD", shard)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(4)
+    x = rng.integers(-4, 5, size=(1500, 6)) / 256.0
+    x[rng.integers(0, 1500, 200)] = x[0]
+    x = [*x.tolist(), [1048577.0, 1.0, 0.0, 0.0, 0.0, 0.5], [1e30, -1.0, 0.0, 0.0, 0.0, 0.0], [], [], [3.0]]
+    ids = list(range(len(x)))
+    df = spark.createDataFrame([(i, v, 0, 1.0, 2, 3, 4, 5) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>, id int, x double, cell int, query int, dim int, salt int")
+    asked = F.col("vec_id").isin(*range(0, 1500, 50), 1500, 1502)
+    found = collections.defaultdict(list)
+    for r in topk.top_inner_products(df, asked).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    whole = [[math.floor(256 * v) for v in row] for row in x]
+    clipped = {i: [(j, max(topk.LOW, min(topk.HIGH, s))) for j, s in best] for i, best in best_rows(ids, whole, [*range(0, 1500, 50), 1500, 1502]).items()}
+    assert dict(found) == clipped
 
 
 def test_pipeline(spark):
@@ -277,27 +291,3 @@ def test_pipeline(spark):
         if name in ("toxicity", "near-duplicates"):
             assert docs.count() == docs.select("doc_id").distinct().count() <= before.count()
     assert corpus_pipeline.run(spark, SF_SMALL).count() > 0
-
-
-def test_context_counts_grow_with_the_words():
-    """More distinct contexts than count_slots() has slots: each keeps its own counts, whatever else is counted."""
-    rng = random.Random(12)
-    many = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(10)) for _ in range(120_000)]
-    tokens = context_mixing.Tokens([" ".join(["zebra zebra", *many]).encode()])
-    pairs, n = context_mixing.pair_counts(tokens, np.bincount(tokens.which))
-    assert len(pairs) > 1 << context_mixing.SLOT_BITS
-    followed = collections.Counter()
-    for word in ["zebra", "zebra", *many]:
-        padded = "\n" * 5 + word + " "
-        followed.update((padded[k - 5 : k], padded[k]) for k in range(5, len(padded)))
-    counts = context_mixing.Counts(pairs, n)
-    five = lambda c: np.array([3 << 48 | int.from_bytes(c.encode(), "little")], np.uint64)
-    for before, symbol in [("zebra", " "), ("\nzebr", "a"), *rng.sample(sorted(followed), 300)]:
-        found = counts.odds(five(before), np.array([ord(symbol)], np.uint8))[0]
-        after = {ord(s): k for s in map(chr, range(256)) if (k := followed[before, s])}
-        for bit in range(8):
-            same_start = {s: k for s, k in after.items() if s >> (8 - bit) == ord(symbol) >> (8 - bit)}
-            ones = sum(k for s, k in same_start.items() if s >> (7 - bit) & 1)
-            zeros = sum(same_start.values()) - ones
-            assert found[bit] == np.clip(np.rint(np.log((ones + 0.4) / (zeros + 0.4)) * context_mixing.SCALE), -127, 127)
-    assert not counts.odds(five("qqqq~"), np.array([65], np.uint8)).any()
