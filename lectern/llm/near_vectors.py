@@ -6,14 +6,17 @@ put into the next likeliest ones (``PROBES`` in all), and vectors meet where the
 number of hashes follows the number of vectors, which keeps buckets short; the number of tables is set so that a pair
 just at the threshold meets with the probability ``RECALL``, measured on random pairs at exactly that angle.
 
-Equal vectors are one node that carries their number. A bucket of more than ``BLOCK`` nodes is dealt to blocks, and
-each pair of blocks is one unit of work, so that no unit holds more than 2 * BLOCK vectors. Of a bucket only sums come out:
-for each node the rows it is linked with and the smallest node it hangs together with there. A pair counts in the
-smallest bucket that both share, therefore once. All similarities are verified in double precision.
+What moves to a bucket is a node's id and a sketch of ``SKETCH`` signs of random projections; whose sketches are as near as those of a
+pair at the threshold (within ``DOUBT`` standard deviations) may be linked, and only who hangs together with whom goes on. So
+each vector comes to lie in one group of candidates and is moved there once, and all pairs of the group are verified in double precision.
+
+Equal vectors are one node that carries their number. Buckets and groups of more than ``BLOCK`` nodes are dealt to blocks, and each pair
+of blocks is one unit of work, so that no unit holds more than 2 * BLOCK nodes. Out of a unit come sums, never pairs: for each node the
+vectors it is linked with and the smallest node it hangs together with there.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do rows
-without an id; vectors of different lengths link with nothing of the other length; rows that repeat an id are one node;
-an empty table gives an empty result; other columns are ignored.
+without an id; vectors of different lengths link with nothing of the other length; rows that repeat an id are one vector, the least of
+those that can link, and each has its result; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._shared import stored
+from lectern.llm._shared import drop_stored, stored
+from lectern.llm.blocks import by_group, dealt, once, roots, sides
 from lectern.llm.components import connected_components
 from lectern.session import ship_package
 
@@ -36,8 +40,8 @@ PROBES = 4
 RECALL = 0.9999
 BLOCK = 2048
 SEED = 20240613
-#: A list of crowded buckets up to this many rows (16 bytes each) is broadcast; a longer one is joined by shuffle.
-BROADCAST_ROWS = 50_000
+SKETCH = 128
+DOUBT = 5.0
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -64,8 +68,10 @@ def bucket_codes(x: np.ndarray, hashes: int, tables: int, probes: int) -> np.nda
             y = x
             for r in range(3):
                 y = hadamard(y * signs[k, r])
-            order = np.argsort(-np.abs(y), axis=1, kind="stable")[:, :top]
+            order = np.argpartition(-np.abs(y), top - 1, axis=1)[:, :top]
             value = np.take_along_axis(y, order, 1)
+            by_size = np.argsort(-np.abs(value), axis=1, kind="stable")
+            order, value = np.take_along_axis(order, by_size, 1), np.take_along_axis(value, by_size, 1)
             sides.append(order * 2 + (value < 0))
             costs.append((np.abs(value[:, :1]) - np.abs(value)) ** 2)
         cost = sum(costs[k][:, choices[:, k]] for k in range(hashes))
@@ -95,114 +101,82 @@ def plan_tables(n: int, dim: int, threshold: float, probes: int = PROBES, recall
     return hashes, max(2, math.ceil(math.log(1 - recall) / math.log(1 - min(max(meets, 0.02), 0.98))))
 
 
-def _matrix(blobs: pd.Series, kind: str) -> np.ndarray:
+def _matrix(blobs: list[bytes], kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _expand(hashes_tables: dict[int, tuple[int, int]], kind: str, keep: bool):
-    """Rows of (node, n, dim, vec) to one row per bucket; keep: with what comparing needs, else only the bucket."""
+def sketches(x: np.ndarray) -> np.ndarray:
+    """int64 [rows, SKETCH / 64]: signs of projections on directions that depend on the number of components only."""
+    directions = np.random.default_rng([SEED, x.shape[1]]).normal(size=(x.shape[1], SKETCH))
+    return np.packbits(x @ directions > 0, axis=1).view(np.int64)
+
+
+def _hashed(plans: dict[int, tuple[int, int]], kind: str):
+    """Rows of (node, dim, vec) to one row per bucket: (bucket, node, s0, s1)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, part in batch.groupby("dim"):
-                hashes, tables = hashes_tables[int(dim)]
+                hashes, tables = plans[int(dim)]
                 for at in range(0, len(part), 1024):
                     some = part.iloc[at : at + 1024]
-                    blobs = [np.asarray(v, kind).tobytes() for v in some["vec"]]
-                    codes = bucket_codes(_matrix(blobs, kind), hashes, tables, PROBES).reshape(len(some), -1)
+                    x = _matrix([np.asarray(v, kind).tobytes() for v in some["vec"]], kind)
+                    codes = bucket_codes(x, hashes, tables, PROBES).reshape(len(some), -1)
                     codes.sort(axis=1)
                     first = np.ones(codes.shape, bool)
                     first[:, 1:] = codes[:, 1:] != codes[:, :-1]
                     row, col = np.nonzero(first)
-                    bucket = codes[row, col].astype(np.int64) | (np.int64(dim) << np.int64(32))
-                    if not keep:
-                        yield pd.DataFrame({"bucket": bucket})
-                        continue
-                    packed = [c.tobytes() for c in codes]
-                    yield pd.DataFrame({"bucket": bucket, "code": codes[row, col], "node": some["node"].to_numpy()[row], "n": some["n"].to_numpy()[row], "vec": [blobs[r] for r in row], "codes": [packed[r] for r in row]})
+                    sketch = sketches(x)[row]
+                    yield pd.DataFrame({"bucket": codes[row, col].astype(np.int64) | (np.int64(dim) << np.int64(32)), "node": some["node"].to_numpy()[row], "s0": sketch[:, 0], "s1": sketch[:, 1]})
 
     return run
 
 
-def linked_roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For nodes 0..size-1 and edges (a, b): the smallest node that each hangs together with."""
-    label = np.arange(size)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
-def _owned(codes: np.ndarray, a: np.ndarray, b: np.ndarray, here: int) -> np.ndarray:
-    """Which pairs have `here` as the smallest code they share; codes are sorted within each row."""
-    out = np.empty(len(a), bool)
-    for at in range(0, len(a), 65536):
-        x, y = codes[a[at : at + 65536]], codes[b[at : at + 65536]]
-        earlier = np.zeros(len(x), bool)
-        for k in range(x.shape[1]):
-            col = x[:, k]
-            live = (col < here) & ~earlier
-            if not live.any():
-                break
-            earlier[live] = (y[live] == col[live, None]).any(1)
-        out[at : at + 65536] = ~earlier
-    return out
-
+def _may_link(threshold: float):
+    """A bucket's rows (node, s0, s1) to (a, b): who hangs together there, by sketches."""
+    share = math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    most = SKETCH * share + DOUBT * math.sqrt(SKETCH * share * (1 - share)) + 1
 
-def _compare(threshold: float, kind: str):
-    """Rows sorted by (bucket, i, j) to (node, links, root)."""
+    def unit(part: pd.DataFrame) -> pd.DataFrame | None:
+        node = part["node"].to_numpy()
+        s = np.ascontiguousarray(part[["s0", "s1"]].to_numpy()).view(np.uint64)
+        left, right, same = sides(part)
+        a, b = [], []
+        for at in range(0, len(left), 256):
+            rows = left[at : at + 256]
+            far = np.bitwise_count(s[rows, 0][:, None] ^ s[right, 0][None, :]) + np.bitwise_count(s[rows, 1][:, None] ^ s[right, 1][None, :])
+            x, y = np.nonzero(far <= most)
+            a.append(rows[x])
+            b.append(right[y])
+        a, b = np.concatenate(a), np.concatenate(b)
+        root = roots(node, a, b)
+        some = root != node
+        return pd.DataFrame({"a": node[some], "b": root[some]}) if some.any() else None
+
+    return unit
+
+
+def _verify(threshold: float, kind: str):
+    """Rows (node, n, vec) of a group to (node, links, root): exact links of each node here."""
 
     def unit(part: pd.DataFrame) -> pd.DataFrame | None:
-        i, j = part["i"].iat[0], part["j"].iat[0]
-        x = _matrix(part["vec"], kind)
-        node, n, block = part["node"].to_numpy(), part["n"].to_numpy(), part["block"].to_numpy()
-        left, right = (np.arange(len(x)),) * 2 if i == j else (np.nonzero(block == i)[0], np.nonzero(block == j)[0])
+        x = _matrix([np.asarray(v, kind).tobytes() for v in part["vec"]], kind)
+        node, n = part["node"].to_numpy(), part["n"].to_numpy()
+        left, right, same = sides(part)
         near = x[left] @ x[right].T >= threshold
-        if i == j:
+        if same:
             near = np.triu(near, 1)
         a, b = np.nonzero(near)
         if not len(a):
             return None
         a, b = left[a], right[b]
-        codes = np.frombuffer(b"".join(part["codes"]), np.int32).reshape(len(x), -1)
-        own = _owned(codes, a, b, int(part["code"].iat[0]))
-        a, b = a[own], b[own]
-        if not len(a):
-            return None
-        order = np.argsort(node, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        root = node[order[linked_roots(len(x), place[a], place[b])[place]]]
         links = np.bincount(a, n[b], len(x)) + np.bincount(b, n[a], len(x))
         some = links > 0
-        return pd.DataFrame({"node": node[some], "links": links[some].astype(np.int64), "root": root[some]})
+        return pd.DataFrame({"node": node[some], "links": links[some].astype(np.int64), "root": roots(node, a, b)[some]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in itertools.chain(batches, [None]):
-            part = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if part is None or not len(part):
-                continue
-            keys = part[["bucket", "i", "j"]].to_numpy()
-            cuts = np.nonzero((keys[1:] != keys[:-1]).any(1))[0] + 1
-            ends = [*cuts, len(part)] if batch is None else cuts
-            at, out = 0, []
-            for end in ends:
-                if end - at > 1 and (done := unit(part.iloc[at:end])) is not None:
-                    out.append(done)
-                at = end
-            rest = part.iloc[at:]
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    return run
+    return unit
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -211,28 +185,35 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     kind, code = ("<f8", "double") if "double" in vectors.schema["embedding"].dataType.simpleString() else ("<f4", "float")
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    valid = F.coalesce(F.col("vec_id").isNotNull() & fine, F.lit(False))
-    keyed = vectors.select("vec_id", "embedding", valid.alias("valid")).withColumns({"k1": F.xxhash64("embedding"), "k2": F.hash("embedding")})
-    nodes = keyed.filter("valid").groupBy("k1", "k2").agg(F.min("vec_id").cast("long").alias("node"), F.count("*").alias("n"), F.first("embedding").alias("vec"))
+    given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    named = once(given, "vec_id", F.struct(~F.coalesce(fine, F.lit(False)), e)).filter(fine)
+    named = named.select("vec_id", F.xxhash64("embedding").alias("k1"), F.hash("embedding").alias("k2"), "embedding")
+    nodes = named.groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("embedding").alias("vec"))
     nodes = stored(nodes.withColumn("dim", F.size("vec")).withColumn("vec", F.col("vec").cast(f"array<{code}>")), "vectors")
     plans = {r["dim"]: plan_tables(r["c"], r["dim"], threshold) for r in nodes.groupBy("dim").agg(F.count("*").alias("c")).collect()}
-    slim = nodes.select("node", "n", "dim", "vec")
 
-    crowded = slim.mapInPandas(_expand(plans, kind, keep=False), "bucket long").groupBy("bucket").count().filter(F.col("count") > BLOCK)
+    # who meets whom in a bucket, and may be linked by the sketches
+    met = stored(nodes.select("node", "dim", "vec").mapInPandas(_hashed(plans, kind), "bucket long, node long, s0 long, s1 long"), "buckets")
+    crowded = met.groupBy("bucket").count().filter(F.col("count") > BLOCK)
     crowded = stored(crowded.select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "crowded")
-    if crowded.count() <= BROADCAST_ROWS:
-        crowded = F.broadcast(crowded)
-    rows = slim.mapInPandas(_expand(plans, kind, keep=True), "bucket long, code int, node long, n long, vec binary, codes binary").join(crowded, "bucket", "left")
-    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
-    found = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInPandas(_compare(threshold, kind), "node long, links long, root long")
+    rows = met.join(crowded, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    maybe = stored(dealt(rows, "bucket").mapInPandas(by_group(["bucket", "i", "j"], _may_link(threshold)), "a long, b long").distinct(), "candidates")
+    drop_stored(met)
+    groups = stored(connected_components(maybe), "groups")
+
+    # verification within the groups
+    picked = nodes.select("node", "n", "vec").join(groups.select("node", F.col("component").alias("group")), "node")
+    span = groups.groupBy(F.col("component").alias("group")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    found = dealt(picked.join(span, "group"), "group").mapInPandas(by_group(["group", "i", "j"], _verify(threshold, kind)), "node long, links long, root long")
     found = stored(found, "links")
+    for done in (crowded, maybe, groups):
+        drop_stored(done)
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = nodes.select("k1", "k2", "node", "n").join(links, "node", "left").join(parts, "node", "left")
-    known = known.select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"), F.lit(True).alias("valid"))
-    out = keyed.select("vec_id", "k1", "k2", "valid").join(known, ["k1", "k2", "valid"], "left")
-    own = F.coalesce("component_id", F.col("vec_id").cast("long"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
+    known = known.select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    by_id = named.select("vec_id", "k1", "k2").join(known, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
+    out = vectors.select(F.col("vec_id").alias("__id"), F.col("vec_id").cast("long").alias("vec_id")).join(by_id, "vec_id", "left")
+    own = F.coalesce("component_id", "vec_id")
+    return out.select(F.col("__id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))

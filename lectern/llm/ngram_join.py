@@ -1,10 +1,11 @@
 """Similarity join of documents on word n-grams: MinHash LSH forest, then exact verification.
 
-A document's signature is ``TREES`` labels of ``DEPTH`` minimum hashes. Each tree is the trie of its sorted labels: documents
-under a common prefix of d values meet there. All trees are read from the full label upwards, and the prefix is shortened
-until a pair just at the threshold meets in some tree with probability ``RECALL``; the deeper levels are part of
-that subtree. In a subtree, signatures tell which pairs may be similar (within ``DOUBT`` standard deviations), and only who hangs
-together with whom goes on. So each document comes to lie in one group of candidates, its shingles are
+A document's signature is ``TREES`` labels of ``DEPTH`` minimum hashes. Each tree is the trie of its sorted labels. Documents meet
+at the longest prefix that their labels share: first those of one whole label, then prefixes are shortened value by value, and at
+every node of the trie those that come together there are compared by their signatures (alike within ``DOUBT`` standard deviations).
+Shortening ends at a node whose documents hang together already, and everywhere at the length where a pair just at the
+threshold has met in some tree with probability ``RECALL``; the subtrees below prefixes of that length are the units of work. Only who
+hangs together with whom goes on. So each document comes to lie in one group of candidates, its shingles are
 computed and moved there once, and all pairs of the group are verified exactly on the sets of 64-bit shingle hashes.
 
 Documents of one sequence of words are one node. Subtrees and groups of more than ``BLOCK`` nodes (groups also by their number of
@@ -18,7 +19,6 @@ document, of the least of their texts; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,9 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._shared import stored
+from lectern.llm._shared import drop_stored, stored
+from lectern.llm.blocks import by_group, dealt, linked_roots, once, roots, sides
 from lectern.llm.components import connected_components
-from lectern.llm.near_vectors import linked_roots
 from lectern.llm.wordhash import batch_words, mix, shingles
 from lectern.session import ship_package
 
@@ -45,8 +45,8 @@ BLOCK_SHINGLES = 1_000_000
 PIECE = 500_000
 
 
-def prefix_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix, at most depth, at which a pair at the threshold shares one in some tree with probability recall."""
+def shortest_prefix(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
+    """How far prefixes are shortened: to the first length at which a pair at the threshold shares one in some tree with probability recall."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
@@ -104,7 +104,7 @@ def _sign(width: int):
 
 
 def _prefixes(depth: int):
-    """(node, sig) to one row per tree: bucket, a hash of the tree and its label's first `depth` values."""
+    """(node, sig) to one row per tree: bucket, the subtree below its label's first `depth` values."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -114,48 +114,11 @@ def _prefixes(depth: int):
             bucket = np.broadcast_to(mix(np.arange(1, TREES + 1, dtype=np.uint64)), sig.shape[:2]).copy()
             for d in range(depth):
                 bucket = mix(bucket + sig[:, :, d].astype(np.uint64))
-            yield pd.DataFrame({"bucket": bucket.view(np.int64).ravel(), "node": np.repeat(batch["node"].to_numpy(), TREES)})
+            yield pd.DataFrame({"bucket": bucket.view(np.int64).ravel(), "tree": np.tile(np.arange(TREES, dtype=np.int8), len(batch)), "node": np.repeat(batch["node"].to_numpy(), TREES)})
 
     return run
 
 
-def by_group(keys: list[str], unit: Callable[[pd.DataFrame], pd.DataFrame | None]):
-    """A mapInPandas function for rows sorted by keys: unit gets the rows of each key once, all together."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None and not len(batch):
-                continue
-            if batch is not None and held and (batch[keys].iloc[-1] == held[-1][keys].iloc[-1]).all():
-                held.append(batch)  # all of one key so far: wait for its end
-                continue
-            part = pd.concat([*held, *([] if batch is None else [batch])], ignore_index=True) if held or batch is not None else None
-            if part is None:
-                continue
-            k = part[keys].to_numpy()
-            cuts = np.nonzero((k[1:] != k[:-1]).any(1))[0] + 1
-            ends, at, out = [*cuts, *([len(part)] if batch is None else [])], 0, []
-            for end in ends:
-                if end - at > 1 and (done := unit(part.iloc[at:end])) is not None:
-                    out.append(done)
-                at = end
-            held = [] if batch is None else [part.iloc[at:]]
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    return run
-
-
-def _sides(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Rows to compare with each other: the two blocks of this unit, or all with all."""
-    i, j = part["i"].iat[0], part["j"].iat[0]
-    if i == j:
-        return np.arange(len(part)), np.arange(len(part)), True
-    block = part["block"].to_numpy()
-    return np.nonzero(block == i)[0], np.nonzero(block == j)[0], False
-
-
 def _like(sig: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows whose signatures agree in a share of at least `least` of their values."""
     a, b = [], []
@@ -172,18 +135,62 @@ def _like(sig: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, leas
     return a[keep], b[keep]
 
 
-def roots(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For rows of these nodes and links (a, b) between rows: the smallest node that each hangs together with."""
-    order = np.argsort(node, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return node[order[linked_roots(len(node), place[a], place[b])[place]]]
-
+def trie_pairs(labels: np.ndarray, shortest: int, alike: Callable[[np.ndarray, np.ndarray], np.ndarray], apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that a tree's sorted labels bring together and that are alike, as far as they tell who hangs together.
+
+    Rows meet at the longest prefix that they share: first those of one label, then, value by value, those below each shorter
+    prefix, down to `shortest` values. A node of the trie whose rows hang together already is passed over, and so is, in every other node,
+    each pair that does. apart: groups of rows; if given, only rows of different ones are compared.
+    """
+    order = np.lexsort(labels.T[::-1])
+    below = labels[order]
+    shared = np.concatenate([[0], (np.cumprod(below[1:] == below[:-1], axis=1)).sum(axis=1)])  # values shared with the row before
+    found_a, found_b = [], []
+    part, child = np.arange(len(order)), np.arange(len(order))  # who hangs together, and the node one value deeper
+    for depth in range(labels.shape[1], shortest - 1, -1):
+        node = np.cumsum(shared < depth)
+        starts = np.nonzero(np.diff(node, prepend=-1))[0]
+        links_a, links_b = [], []
+        for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+            if end - begin == 1 or (part[begin:end] == part[begin]).all():
+                continue
+            for at in range(begin, end, 128):
+                rows = np.arange(at, min(at + 128, end))
+                meet = (child[rows][:, None] != child[None, begin:end]) & (part[rows][:, None] != part[None, begin:end]) & (rows[:, None] < np.arange(begin, end)[None, :])
+                if apart is not None:
+                    meet &= apart[order[rows]][:, None] != apart[order[begin:end]][None, :]
+                x, y = np.nonzero(meet)
+                x, y = rows[x], begin + y
+                if len(x):
+                    near = alike(order[x], order[y])
+                    links_a.append(x[near])
+                    links_b.append(y[near])
+        child = node
+        if links_a and len(a := np.concatenate(links_a)):
+            b = np.concatenate(links_b)
+            found_a.append(a)
+            found_b.append(b)
+            part = linked_roots(len(order), np.concatenate(found_a), np.concatenate(found_b))
+    if not found_a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return order[np.concatenate(found_a)], order[np.concatenate(found_b)]
+
+
+def _may_link(least: float, shortest: int):
+    """A subtree's rows (tree, node, sig) to (a, b): who hangs together there, by signatures."""
 
-def _may_link(least: float):
     def unit(part: pd.DataFrame) -> pd.DataFrame | None:
         sig = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(len(part), -1)
-        a, b = _like(sig, *_sides(part), least)
+
+        def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            out = np.empty(len(a), bool)
+            for at in range(0, len(a), 16384):
+                out[at : at + 16384] = (sig[a[at : at + 16384]] == sig[b[at : at + 16384]]).mean(axis=1) >= least
+            return out
+
+        tree = int(part["tree"].iat[0])
+        apart = None if part["i"].iat[0] == part["j"].iat[0] else part["block"].to_numpy()
+        a, b = trie_pairs(sig[:, tree * DEPTH : (tree + 1) * DEPTH], shortest, alike, apart)
         if not len(a):
             return None
         node = part["node"].to_numpy()
@@ -199,7 +206,7 @@ def _verify(threshold: float, least: float):
 
     def unit(part: pd.DataFrame) -> pd.DataFrame | None:
         sig = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(len(part), -1)
-        a, b = _like(sig, *_sides(part), least)
+        a, b = _like(sig, *sides(part), least)
         if not len(a):
             return None
         sets = [np.frombuffer(s, np.uint64) for s in part["set"]]
@@ -245,27 +252,15 @@ def _shingle_sets(width: int):
     return run
 
 
-def _dealt(rows: DataFrame, key: str) -> DataFrame:
-    """rows with `blocks` to one row per unit of work: block, i and j (two blocks that meet)."""
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "node")
-
-
 def _once(docs: DataFrame) -> DataFrame:
     """The rows of docs with an id, one per id: of rows that repeat one, a row of the least text."""
-    named = docs.filter("doc_id IS NOT NULL")
-    repeated = stored(named.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    again = named.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), row.alias("__row"))
-    again = again.groupBy("__id").agg(F.min_by("__row", "__text").alias("__least"), F.first("__row").alias("__row")).select(F.coalesce("__least", "__row").alias("__row")).select("__row.*")
-    return named.join(repeated, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(again)
+    return once(docs, "doc_id", F.struct(F.col("text").isNull(), F.col("text")))
 
 
 def near_texts(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, class_id (smallest id of those linked directly or not), n_links (documents linked directly)."""
     ship_package(docs.sparkSession)
-    depth = prefix_depth(threshold)
+    depth = shortest_prefix(threshold)
     least = max(0.0, threshold - DOUBT * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     full = _once(given).filter("text IS NOT NULL")
@@ -276,10 +271,10 @@ def near_texts(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS
     sigs = stored(sigs, "node-signatures")
 
     # who meets whom in the forest, and may be similar by the signatures
-    met = stored(sigs.select("node", "sig").mapInPandas(_prefixes(depth), "bucket long, node long"), "prefixes")
+    met = stored(sigs.select("node", "sig").mapInPandas(_prefixes(depth), "bucket long, tree byte, node long"), "prefixes")
     sizes = met.groupBy("bucket").count().filter("count > 1").select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     trees = met.join(sizes, "bucket").join(sigs.select("node", "sig"), "node")
-    maybe = _dealt(trees, "bucket").mapInPandas(by_group(["bucket", "i", "j"], _may_link(least)), "a long, b long")
+    maybe = dealt(trees, "bucket").mapInPandas(by_group(["bucket", "i", "j"], _may_link(least, depth)), "a long, b long")
     groups = stored(connected_components(maybe), "groups")
 
     # exact verification within the groups
@@ -288,7 +283,7 @@ def near_texts(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS
     sets = stored(texts.mapInPandas(_shingle_sets(width), "group long, node long, n long, sig binary, set binary, size long"), "shingle-sets")
     span = sets.groupBy("group").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
     span = span.select("group", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    found = _dealt(sets.join(span, "group"), "group").mapInPandas(by_group(["group", "i", "j"], _verify(threshold, least)), "node long, links long, root long")
+    found = dealt(sets.join(span, "group"), "group").mapInPandas(by_group(["group", "i", "j"], _verify(threshold, least)), "node long, links long, root long")
     found = stored(found, "text-links")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lectern.llm import components, lm_scoring, mixing, near_vectors, ngram_join, packing, pii, quality, token_counts, topk, toxicity
+from lectern.llm import blocks, components, lm_scoring, mixing, near_vectors, ngram_join, packing, pii, quality, token_counts, topk, toxicity
 from lectern.llm.queries import ORACLES, QUERIES, table
 from lectern.llm.transducers import counter
 from tests.conftest import SF_SMALL
@@ -69,7 +69,7 @@ def test_near_vectors_with_a_crowded_bucket(spark, monkeypatch):
     near = unit @ unit.T >= 0.95
     found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(df).collect()}
     a, b = np.nonzero(near)
-    label = near_vectors.linked_roots(len(x), a, b)
+    label = blocks.linked_roots(len(x), a, b)
     assert [found[k][0] for k in range(len(x))] == (near.sum(1) - 1).tolist()
     assert [found[k][1] for k in range(len(x))] == label.tolist()
 
@@ -91,16 +91,16 @@ def test_ngram_join_with_crowded_groups(spark, monkeypatch):
     n = len(texts)
     near = np.array([[bool(s and u) and len(s & u) >= 0.8 * len(s | u) for u in sets] for s in sets])
     a, b = np.nonzero(near)
-    label = near_vectors.linked_roots(n, a, b)
+    label = blocks.linked_roots(n, a, b)
     found = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in ngram_join.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [found[k][0] for k in range(n)] == [max(0, int(c) - 1) for c in near.sum(1)]
     assert [found[k][1] for k in range(n)] == label.tolist()
 
 
-def test_prefix_depth_reaches_the_recall():
-    assert ngram_join.prefix_depth(0.8) == 4 and ngram_join.prefix_depth(0.99) == ngram_join.DEPTH
+def test_shortest_prefix_reaches_the_recall():
+    assert ngram_join.shortest_prefix(0.8) == 4 and ngram_join.shortest_prefix(0.99) == ngram_join.DEPTH
     for threshold in (0.5, 0.7, 0.8, 0.9):
-        depth = ngram_join.prefix_depth(threshold)
+        depth = ngram_join.shortest_prefix(threshold)
         assert depth == 1 or 1 - (1 - threshold**depth) ** ngram_join.TREES >= ngram_join.RECALL
 
 
