@@ -2,8 +2,8 @@
 
 Eight heuristics on length, words, letters, symbols, capitals and repetition each vote for good, for bad or not at all. The votes of
 all documents are counted by pattern, and expectation-maximisation estimates from these counts how reliable each heuristic is and
-how likely each pattern belongs to a good document. Those posteriors label a sample (some ``SAMPLE_DOCS`` documents of
-at most ``SAMPLE_BYTES`` bytes), on which a logistic scorer of hashed features of the text (shapes of words, repeated neighbours, and
+how likely each pattern belongs to a good document. Those posteriors label a sample of some ``SAMPLE_DOCS`` documents (twice that at most,
+those of the smallest hashes; of a text of more than ``SAMPLE_CHARS`` characters the piece that a hash points to), on which a logistic scorer of hashed features of the text (shapes of words, repeated neighbours, and
 classes of length and variety) is trained. Every document is then scored on its whole text.
 
 Defined results: a null text is empty; an empty text votes and scores by its length alone; rows that repeat an id are scored
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lectern.llm._shared import WORD, hash_share
 from lectern.session import ship_package
 
-SAMPLE_DOCS, SAMPLE_BYTES = 4000, 32_768
+SAMPLE_DOCS, SAMPLE_CHARS = 4000, 32_768
 BITS = 14
 KEEP = 0.5
 
@@ -147,8 +147,11 @@ def fitted(docs: DataFrame) -> QualityModel:
     counts = {tuple(r["v"]): r["count"] for r in rows.select(votes.alias("v")).groupBy("v").count().collect()}  # at most 3**8 rows
     post = posteriors(counts)
     share = SAMPLE_DOCS / max(1, sum(counts.values()))
-    sample = rows.filter((F.octet_length("text") <= SAMPLE_BYTES) & hash_share(share, "doc_id", "text"))
-    sample = sample.select("text", votes.alias("v")).limit(2 * SAMPLE_DOCS).collect()  # the limit is for rows that are all equal
+    order = F.xxhash64("doc_id", "text")
+    begin = F.pmod(order, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
+    piece = F.substr("text", begin + 1, F.lit(SAMPLE_CHARS)).alias("text")
+    sample = rows.filter(hash_share(share, "doc_id", "text")).select(order.alias("order"), piece, votes.alias("v"))
+    sample = sample.orderBy("order", "text").limit(2 * SAMPLE_DOCS).collect()  # the limit is for rows that are all equal
     sample.sort(key=lambda r: zlib.crc32(r["text"].encode("utf-8", "surrogatepass")))
     return fit_scorer([r["text"] for r in sample], [post[tuple(r["v"])] for r in sample])
 

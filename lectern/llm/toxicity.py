@@ -7,8 +7,10 @@ share of them than of other documents. The field is fitted to these by gradient
 forward-backward gives every token's marginal. A document's score is a logistic function of
 the summed evidence and of the strongest token, fitted on evidence that each half of the sample gets from a field fitted to the other; its spans are the runs of tokens whose marginal is above 1/2.
 
-The fit uses a sample of some ``PER_CLASS`` documents of each label (at most four times that) and ``SAMPLE_BYTES`` bytes a text. Scoring uses
-every token of every document; chains are cut after ``CHAIN`` tokens.
+The fit uses a sample of some ``PER_CLASS`` labelled documents of each label (at most four times that in all), the ones of the smallest hashes, and
+at most ``SAMPLE_CHARS`` characters of each: of a longer text the piece that a hash of its id points to. It learns from pieces of ``LANE`` tokens.
+Scoring uses every token of every document, and forward-backward runs over the whole document: pieces of ``LANE`` tokens are handled
+side by side, and what enters a piece from either side is carried through the product of the transitions of the pieces before it.
 
 Defined results: null and empty texts, and texts without letters, have no tokens and the score of no evidence;
 if the sample lacks one of the labels, every document scores the share of toxic labels in it (0 without labels); a null label is
@@ -18,6 +20,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,8 +37,8 @@ from lectern.session import ship_package
 FOLDS = 5
 HELD_OUT_FOLD = 0
 PER_CLASS = 1500
-SAMPLE_BYTES = 32_768
-CHAIN = 128
+SAMPLE_CHARS = 32_768
+LANE = 128
 BITS = 18
 #: A feature marks toxicity if it is found in so many toxic documents, in such a share of them, and in so many times the share of others.
 LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.02, 20.0
@@ -58,35 +61,107 @@ def words_of(text: str) -> list[str]:
     return lower if len(lower) == len(found) else [w.lower() for w in found]
 
 
-def _lanes(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position grid [chains, CHAIN] with -1 as padding, lengths) for tokens of documents that end at `ends`."""
+def _lanes(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position grid [lanes, LANE] with -1 as padding, document of each lane) for tokens of documents that end at `ends`."""
     sizes = np.diff(ends, prepend=0)
-    chains = -(-sizes // CHAIN)
-    doc = np.repeat(np.arange(len(sizes)), chains)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(chains) - chains, chains)
-    start = (ends - sizes)[doc] + nth * CHAIN
-    length = np.minimum(CHAIN, ends[doc] - start)
-    grid = start[:, None] + np.arange(CHAIN)[None, :]
-    grid[np.arange(CHAIN)[None, :] >= length[:, None]] = -1
-    return grid, length
+    lanes = -(-sizes // LANE)
+    doc = np.repeat(np.arange(len(sizes)), lanes)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    start = (ends - sizes)[doc] + nth * LANE
+    length = np.minimum(LANE, ends[doc] - start)
+    grid = start[:, None] + np.arange(LANE)[None, :]
+    grid[np.arange(LANE)[None, :] >= length[:, None]] = -1
+    return grid, doc
 
 
-def forward_backward(unary: np.ndarray, grid: np.ndarray, stay: float, enter: float, leave: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginal log-odds of toxic [chains, CHAIN], and the forward and backward log-odds they are made of.
+def _carried(first: np.ndarray, out: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Odds that enter each lane, in the order of the lanes: `first` where a document starts, else what leaves the lane before.
+
+    out: odds that leave lanes where a document starts; steps [4, lanes]: what leaves is (a r + b) / (c r + d) where r enters.
+    """
+    starts = np.nonzero(first)[0]
+    many = np.diff(starts, append=len(first))
+    enters = np.ones(len(first))
+    live, now = starts[many > 1], out[starts[many > 1]]
+    many = many[many > 1]
+    for k in range(1, int(many.max(initial=0))):
+        keep = many > k
+        live, now, many = live[keep], now[keep], many[keep]
+        at = live + k
+        enters[at] = now
+        a, b, c, d = steps[:, at]
+        now = (a * now + b) / (c * now + d)
+    return enters
+
+
+def _product(weight: np.ndarray, p: float, q: float, r: float, s: float, ahead: bool) -> np.ndarray:
+    """The four numbers of the whole lane's step, from those of its tokens: w (p x + q) / (r x + s) ahead, (p w x + q) / (r w x + s) back."""
+    a, b, c, d = np.ones(len(weight)), np.zeros(len(weight)), np.zeros(len(weight)), np.ones(len(weight))
+    for t in range(LANE) if ahead else range(LANE - 1, -1, -1):
+        w = weight[:, t]
+        if ahead:
+            a, b, c, d = w * (p * a + q * c), w * (p * b + q * d), r * a + s * c, r * b + s * d
+        else:
+            a, b, c, d = p * w * a + q * c, p * w * b + q * d, r * w * a + s * c, r * w * b + s * d
+        size = a + b + c + d
+        a, b, c, d = a / size, b / size, c / size, d / size
+    return np.stack([a, b, c, d])
+
+
+def forward_backward(unary: np.ndarray, grid: np.ndarray, stay: float, enter: float, leave: float, doc: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginal log-odds of toxic [lanes, LANE], and the forward and backward log-odds they are made of.
 
     Potentials are relative to the other tag: unary for the token, and stay, enter and leave for the pairs toxic-toxic,
-    other-toxic and toxic-other.
+    other-toxic and toxic-other. doc: the document of each lane; lanes of one document stand in order and are one chain (None: every lane
+    is a chain).
     """
-    u = np.where(grid >= 0, unary[grid], 0.0)
-    fore, back = np.empty_like(u), np.zeros_like(u)
-    fore[:, 0] = u[:, 0]
-    for t in range(1, u.shape[1]):
-        r = fore[:, t - 1]
-        fore[:, t] = u[:, t] + np.logaddexp(r + stay, enter) - np.logaddexp(r + leave, 0.0)
-    for t in range(u.shape[1] - 2, -1, -1):
-        r = back[:, t + 1] + u[:, t + 1]
-        step = np.logaddexp(stay + r, leave) - np.logaddexp(enter + r, 0.0)
-        back[:, t] = np.where(grid[:, t + 1] >= 0, step, 0.0)
+    doc = np.arange(len(grid)) if doc is None else doc
+    first, last = np.diff(doc, prepend=-1) != 0, np.diff(doc, append=-1) != 0
+    real = grid >= 0
+    w = np.exp(np.clip(np.where(real, unary[grid], 0.0), -40, 40))
+    p, e, q = math.exp(stay), math.exp(enter), math.exp(leave)
+    fore, back = np.empty_like(w), np.ones_like(w)
+
+    def ahead(enters: np.ndarray, some: np.ndarray) -> None:
+        """Forward odds of some lanes into `fore`."""
+        x, y = w[some], np.empty((len(some), w.shape[1]))
+        y[:, 0] = np.where(first[some], x[:, 0], x[:, 0] * (p * enters + e) / (q * enters + 1))
+        for t in range(1, x.shape[1]):
+            y[:, t] = x[:, t] * (p * y[:, t - 1] + e) / (q * y[:, t - 1] + 1)
+        fore[some] = y
+
+    every = np.arange(len(grid))
+    if first.all():
+        ahead(np.ones(len(grid)), every)
+    else:
+        ahead(np.ones(first.sum()), every[first])
+        steps = np.ones((4, len(grid)))
+        inner = ~first & ~last
+        steps[:, inner] = _product(w[inner], p, e, q, 1.0, ahead=True)
+        enters = _carried(first, fore[:, -1], steps)
+        ahead(enters[~first], every[~first])
+
+    def backward(enters: np.ndarray, some: np.ndarray) -> None:
+        """Backward odds of some lanes into `back`; enters: the backward odds of the last token."""
+        x, y, there = w[some], np.ones((len(some), w.shape[1])), real[some]
+        y[:, -1] = enters
+        for t in range(w.shape[1] - 2, -1, -1):
+            r = x[:, t + 1] * y[:, t + 1]
+            y[:, t] = np.where(there[:, t + 1], (p * r + q) / (e * r + 1), 1.0)
+        back[some] = y
+
+    if last.all():
+        backward(np.ones(len(grid)), every)
+    else:
+        backward(np.ones(last.sum()), every[last])
+        # what a lane hands to the one before it: the backward odds of that lane's last token
+        hand = (p * w[:, 0] * back[:, 0] + q) / (e * w[:, 0] * back[:, 0] + 1)
+        steps = np.ones((4, len(grid)))
+        inner = ~first & ~last
+        steps[:, inner] = _product(w[inner], p, q, e, 1.0, ahead=False)
+        enters = _carried(last[::-1], hand[::-1], steps[:, ::-1])[::-1]
+        backward(enters[~last], every[~last])
+    fore, back = np.log(fore), np.log(back)
     return fore + back, fore, back
 
 
@@ -110,11 +185,14 @@ class ToxicModel:
     def marginals(self, unary: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log-odds of toxic for each token of documents that end at `ends`."""
         out = np.empty(len(unary))
-        grid, _ = _lanes(unary, ends)
-        for at in range(0, len(grid), 4096):
-            some = grid[at : at + 4096]
-            odds = forward_backward(unary, some, *self.chain)[0]
+        grid, doc = _lanes(ends)
+        at = 0
+        while at < len(grid):  # whole documents at a time
+            to = int(np.searchsorted(doc, doc[min(at + 4096, len(doc)) - 1], side="right"))
+            some = grid[at:to]
+            odds = forward_backward(unary, some, *self.chain, doc[at:to])[0]
             out[some[some >= 0]] = odds[some >= 0]
+            at = to
         return out
 
     @staticmethod
@@ -191,7 +269,7 @@ def _fit_field(tokens: list[np.ndarray], feats: np.ndarray, label: np.ndarray, s
     ends = np.cumsum([len(w) for w in tokens])
     word = np.concatenate(tokens)
     truth = marked[word] & np.repeat(label, [len(w) for w in tokens])
-    grid = _lanes(word, ends)[0].astype(np.int32)
+    grid = _lanes(ends)[0].astype(np.int32)
     # chains without a toxic token are alike: four times as many as there are others are enough to fit on
     bad = np.where(grid >= 0, truth[grid], False).any(axis=1)
     rest = np.random.default_rng(7).permutation(np.nonzero(~bad)[0])[: max(2000, 4 * bad.sum())]
@@ -232,14 +310,18 @@ def _add_gradient(grid: np.ndarray, unary: np.ndarray, truth: np.ndarray, word:
         other[1 + k] += (joint[k] - hit)[real[:, 1:]].sum()
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_chars: int = SAMPLE_CHARS) -> DataFrame:
     """(text, toxic) of some per_class labelled documents of each label, picked by a hash of their ids, none of them held out."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(crc_mod("doc_id", FOLDS) != HELD_OUT_FOLD)
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     wanted = [(F.col("toxic") == t) & hash_share(1.25 * per_class / max(1, counts.get(t, 0)), "doc_id") for t in (0, 1)]
-    ids = F.broadcast(known.filter(wanted[0] | wanted[1]).limit(4 * per_class))  # rows of two numbers
-    return docs.select("doc_id", "text").filter(F.octet_length("text") <= most_bytes).join(ids, "doc_id").limit(4 * per_class).select("doc_id", "text", "toxic")
+    first = [F.xxhash64(F.col("doc_id"), F.lit(1)), F.col("doc_id")]
+    ids = F.broadcast(known.filter(wanted[0] | wanted[1]).orderBy(*first).limit(4 * per_class))  # rows of two numbers
+    begin = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - most_chars, F.lit(0)) + 1).cast("int")
+    piece = F.substr("text", begin + 1, F.lit(most_chars)).alias("text")
+    some = docs.select("doc_id", "text").filter("text IS NOT NULL").join(ids, "doc_id").select("doc_id", piece, "toxic")
+    return some.orderBy(*first, F.xxhash64("text")).limit(4 * per_class)  # the limit is for ids that are repeated
 
 
 def _score(shared):

@@ -181,19 +181,92 @@ def test_toxic_spans(spark):
     assert toxicity.drop_toxic(df, model).count() == sum(r["score"] < 0.5 for r in out)
 
 
+def chain_odds(u, stay, enter, leave):
+    """Marginal log-odds token by token, in logarithms."""
+    n = len(u)
+    fore, back = np.empty(n), np.zeros(n)
+    for k in range(n):
+        fore[k] = u[k] + (np.logaddexp(fore[k - 1] + stay, enter) - np.logaddexp(fore[k - 1] + leave, 0) if k else 0)
+    for k in range(n - 2, -1, -1):
+        r = back[k + 1] + u[k + 1]
+        back[k] = np.logaddexp(stay + r, leave) - np.logaddexp(enter + r, 0)
+    return fore + back
+
+
 def test_forward_backward_against_all_paths():
     rng = np.random.default_rng(8)
     u, (stay, enter, leave) = rng.normal(size=5), rng.normal(size=3)
-    grid = np.full((1, toxicity.CHAIN), -1)
-    grid[0, :5] = np.arange(5)
-    odds = toxicity.forward_backward(u, grid, stay, enter, leave)[0][0, :5]
     weight = np.zeros((5, 2))
     for path in range(32):
         y = [path >> k & 1 for k in range(5)]
         score = sum(u[k] for k in range(5) if y[k]) + sum({(1, 1): stay, (0, 1): enter, (1, 0): leave, (0, 0): 0}[y[k], y[k + 1]] for k in range(4))
         for k in range(5):
             weight[k, y[k]] += math.exp(score)
-    assert np.allclose(odds, np.log(weight[:, 1] / weight[:, 0]))
+    odds = np.log(weight[:, 1] / weight[:, 0])
+    assert np.allclose(chain_odds(u, stay, enter, leave), odds)
+    assert np.allclose(toxicity.ToxicModel(chain=(stay, enter, leave)).marginals(u, np.array([5])), odds)
+
+
+def test_chains_are_whole_documents():
+    rng = np.random.default_rng(9)
+    sizes = [0, 1, 127, 128, 129, 256, 0, 300, 1000, 5]
+    u = rng.normal(scale=3, size=sum(sizes))
+    chain = (2.5, -3.0, -2.0)
+    ends = np.cumsum(sizes)
+    expected = np.concatenate([chain_odds(u[e - n : e], *chain) for e, n in zip(ends, sizes, strict=True)])
+    assert np.allclose(toxicity.ToxicModel(chain=chain).marginals(u, ends), expected)
+
+
+def test_weak_labels_like_plain_expectation_maximisation():
+    """posteriors() on counts by pattern against the same estimate document by document."""
+    rng = random.Random(3)
+    votes = []
+    for _ in range(300):
+        good = rng.random() < 0.7
+        votes.append(tuple(rng.choice([1 if good else -1] * 4 + [0, 1, -1]) for _ in range(8)))
+    found = quality.posteriors(collections.Counter(votes))
+    post = [min(0.98, max(0.02, 0.5 + sum(v) / 16)) for v in votes]
+    post = [min(p, 0.5) if min(v) < 0 else p for p, v in zip(post, votes, strict=True)]
+    for _ in range(200):
+        prior = (sum(post) + 1) / (len(votes) + 2)
+        rate = {}
+        for y in (0, 1):
+            for j in range(8):
+                w = {-1: 2.0 if y == 0 else 0.5, 0: 0.5, 1: 2.0 if y == 1 else 0.5}
+                for v, p in zip(votes, post, strict=True):
+                    w[v[j]] += p if y else 1 - p
+                rate[y, j] = {k: x / sum(w.values()) for k, x in w.items()}
+        log = [[math.log(p) + sum(math.log(rate[y, j][v[j]]) for j in range(8)) for y, p in ((0, 1 - prior), (1, prior))] for v in votes]
+        post = [1 / (1 + math.exp(min(40, max(-40, a - b)))) for a, b in log]
+    assert all(math.isclose(found[v], p, abs_tol=1e-6) for v, p in zip(votes, post, strict=True))
+
+
+def test_votes_and_scores_of_whole_documents(spark):
+    """The query's votes and scores against plain Python on every document."""
+    docs = table(spark, SF_SMALL, "documents")
+    texts = {d["doc_id"]: d["text"] for d in docs.collect()}
+    model = quality.fitted(docs)
+    found = {r["doc_id"]: r for r in quality.score_quality(docs, model).collect()}
+    for i, text in texts.items():
+        words = text.split()
+        ids = collections.defaultdict(float)
+        for w in words:
+            ids[quality._Shapes()[w]] += 1 / len(words)
+        z = model.bias + sum(model.weights[k] * math.sqrt(v) for k, v in ids.items())
+        mask = (1 << quality.BITS) - 1
+        more = [f"n{len(words).bit_length()}"] + ([f"v{int(10 * len(set(words)) / len(words))}", f"m{min(20, len(text) // len(words))}"] if words else [])
+        z += sum(model.weights[zlib.crc32(m.encode()) & mask] for m in more)
+        same = sum(a == b for a, b in zip(words, words[1:])) / max(len(words), 1)  # noqa: B905
+        z += model.weights[zlib.crc32(b"same") & mask] * 5 * math.sqrt(same)
+        assert math.isclose(found[i]["score"], 1 / (1 + math.exp(-z)), rel_tol=1e-4) and found[i]["kept"] == (found[i]["score"] >= quality.KEEP)
+    votes = {r["doc_id"]: r["v"] for r in docs.select("doc_id", F.create_map(*[x for k, v in quality.labellers(F.col("text")).items() for x in (F.lit(k), v)]).alias("v")).collect()}
+    for i, text in texts.items():
+        words, n = re.findall(r"[^\x20\x09-\x0D]+", text), len(text)
+        mean, lines = n / max(1, len(words)), text.split("\n")
+        assert votes[i]["length"] == (-1 if len(words) < 8 else 1 if len(words) >= 30 else 0)
+        assert votes[i]["mean"] == (-1 if mean < 3 or mean > 14 else 1 if 4 <= mean <= 9 else 0)
+        share = len(set(lines)) / len(lines)
+        assert votes[i]["lines"] == (0 if len(lines) < 4 else -1 if share < 0.5 else 1 if share >= 0.8 else 0)
 
 
 def test_quality_against_labels(spark):
