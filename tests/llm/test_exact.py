@@ -146,6 +146,17 @@ def test_neighbours_fill_a_window():
     assert [p[0] for p in first] == [0, 6]
 
 
+def test_likeness_keys_follow_what_is_shared():
+    rng = np.random.default_rng(3)
+    same = other = 0
+    for _ in range(300):
+        a, b = rng.choice(40_000, (2, 100), replace=False)
+        near = np.concatenate([a[:80], b[:20]])
+        same += packing.likeness_keys(a)[0] == packing.likeness_keys(near)[0]
+        other += packing.likeness_keys(a)[0] == packing.likeness_keys(b)[0]
+    assert same > 150 and other < 10  # they share 80 of 120 ids
+
+
 def test_base_score_and_bits(spark):
     docs = table(spark, SF_SMALL, "documents")
     word = re.compile(r"[^\x20\x09-\x0D]+")
