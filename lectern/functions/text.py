@@ -47,13 +47,23 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(text(c)), F.lit(WORD), F.lit(0))
 
 
+HAN = r"\p{IsHan}"
+
+
+def search_tokens(c: Column) -> Column:
+    """Words to search by: words as in words(), but of an unbroken run of Han characters its overlapping pairs (or its only character)."""
+    lower = F.lower(text(c))
+    rest = F.regexp_extract_all(F.regexp_replace(lower, f"{HAN}+", " "), F.lit(WORD), F.lit(0))
+    pairs = F.regexp_extract_all(lower, F.lit(f"(?=({HAN}{{2}}))"), F.lit(1))
+    single = F.regexp_extract_all(lower, F.lit(f"(?<!{HAN}){HAN}(?!{HAN})"), F.lit(0))
+    return F.when(lower.rlike(HAN), F.concat(rest, pairs, single)).otherwise(words(c))
+
+
 def bigrams(c: Column) -> Column:
     """Overlapping pairs of characters; single characters of a text of two or fewer."""
     s = strip(c)
-    n = F.length(s)
-    width = F.when(n <= 2, 1).otherwise(2)
-    at = F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(at, lambda i: F.substr(s, i, width)))
+    pattern = F.when(F.length(s) <= 2, F.lit("(?s)(.)")).otherwise(F.lit("(?s)(?=(..))"))
+    return F.regexp_extract_all(s, pattern, F.lit(1))
 
 
 def first_filled(columns: Sequence[Column]) -> Column:

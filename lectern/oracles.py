@@ -31,8 +31,8 @@ O["ids_and_hashes"] = """
 SELECT doc_id, 'doc-' || md5(source) AS full_id, 'chunk-' || md5('doc-' || md5(source) || '|' || doc_id || '|' || text) AS chunk, md5(text) AS hash FROM documents"""
 O["token_count_regex"] = f"SELECT doc_id, {tokens('text')} AS tokens FROM documents"
 O["char_bigrams"] = f"""
-WITH s AS (SELECT doc_id, {strip("split_part(text, chr(10), 1)")} AS t FROM documents),
-g AS (SELECT doc_id, unnest(CASE WHEN length(t) <= 2 THEN list_transform(range(1, length(t) + 1), lambda i: substring(t, i, 1)) ELSE list_transform(range(1, length(t)), lambda i: substring(t, i, 2)) END) AS gram FROM s)
+WITH s AS (SELECT doc_id, string_split({strip("text")}, '') AS c FROM documents WHERE {strip("text")} <> ''),
+g AS (SELECT doc_id, unnest(CASE WHEN len(c) <= 2 THEN c ELSE list_transform(list_zip(c[:-2], c[2:]), lambda p: p[1] || p[2]) END) AS gram FROM s)
 SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL"""
 
 
@@ -124,18 +124,34 @@ SELECT id, cited, regexp_replace(shown, '{STORED_IMAGE}', '/kb_images/\\1', 'g')
 
 # --- retrieval --------------------------------------------------------------------------------------------------------
 
-_BM25 = f"""
-words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM documents),
+
+
+def search_tokens(x: str) -> str:
+    grams = "CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substring(r, i, 2)) END"
+    return f"list_concat(regexp_extract_all(regexp_replace(lower({x}), '\\p{{Han}}+', ' ', 'g'), '{WORD}'), flatten(list_transform(regexp_extract_all({x}, '\\p{{Han}}+'), lambda r: {grams})))"
+
+
+def bm25(docs: str) -> str:
+    return f"""
+words AS (SELECT doc_id, unnest({search_tokens('text')}) AS term FROM {docs}),
 postings AS (SELECT term, doc_id, count(*) AS tf FROM words GROUP BY ALL),
-lengths AS (SELECT d.doc_id, coalesce(sum(tf), 0) AS dl FROM documents d LEFT JOIN postings p USING (doc_id) GROUP BY ALL),
+lengths AS (SELECT d.doc_id, coalesce(sum(tf), 0) AS dl FROM {docs} d LEFT JOIN postings p USING (doc_id) GROUP BY ALL),
 stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lengths),
 raw AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, ln(CAST(any_value(n) AS DOUBLE) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM postings, stats GROUP BY term),
 terms AS (SELECT term, df, cf, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
-_SCORES = f"""{_BM25},
-asked AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(left(text, 40)), '{WORD}')) AS term FROM benchmark WHERE item_id < 5),
-scores AS (SELECT query_id, doc_id, sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
+
+
+def bm25_scores(docs: str, asked: str) -> str:
+    return f"""{bm25(docs)},
+asked AS ({asked}),
+scores AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS score
            FROM asked JOIN terms USING (term) JOIN postings USING (term) JOIN lengths USING (doc_id), stats GROUP BY ALL)"""
-O["bm25_stats"] = f"WITH {_BM25} SELECT term, df, cf, round(idf, 6) AS idf FROM terms"
+
+
+_SCORES = bm25_scores("documents", f"SELECT item_id AS query_id, unnest({search_tokens('text')}) AS term FROM benchmark")
+_HAN = bm25_scores(f"({fixtures.MANUALS})", f"SELECT query_id, unnest({search_tokens('text')}) AS term FROM ({fixtures.QUERIES})")
+O["bm25_han"] = f"WITH {_HAN} SELECT query_id, doc_id, round(score, 6) AS score FROM scores"
+O["bm25_stats"] = f"WITH {bm25('documents')} SELECT term, df, cf, round(idf, 6) AS idf FROM terms"
 
 
 def scaled(score: str, part: str) -> str:
@@ -146,12 +162,16 @@ O["bm25_topk"] = f"""WITH {_SCORES}, s AS (SELECT query_id, doc_id, {scaled('sco
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10"""
 O["minmax_scores"] = f"SELECT source AS query_id, doc_id, round({scaled('CAST(n_chars AS DOUBLE)', 'source')}, 6) AS score FROM documents"
-_COS = """
+def near(asked: str) -> str:
+    return f"""
 v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
-near AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_dot_product(q.x, c.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(c.x, c.x))) AS score FROM v q JOIN v c ON q.vec_id < 5)"""
-O["vector_topk"] = f"""WITH {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM near)
+u AS (SELECT vec_id, list_transform(x, lambda c: c / sqrt(list_dot_product(x, x))) AS x FROM v),
+near AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_dot_product(q.x, c.x), 9) AS score FROM u q JOIN u c ON {asked})"""
+
+
+O["vector_topk"] = f"""WITH {near("q.vec_id % 50 = 0")}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM near)
 SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10"""
-_LEGS = f"""{_SCORES}, {_COS.strip()},
+_LEGS = f"""{_SCORES}, {near("q.vec_id IN (SELECT item_id FROM benchmark)").strip()},
 t0 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0),
 t1 AS (SELECT query_id, doc_id AS chunk_id, {scaled('score', 'query_id')} AS b FROM t0 WHERE rank <= 50),
 e0 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM near),
@@ -159,12 +179,12 @@ e1 AS (SELECT query_id, chunk_id, {scaled('score', 'query_id')} AS e FROM e0 WHE
 _FUSE = """, j AS (SELECT query_id, chunk_id, b, e, max(e IS NOT NULL) OVER (PARTITION BY query_id) AS has FROM t1 FULL JOIN {} USING (query_id, chunk_id))
 SELECT query_id, chunk_id, round(CASE WHEN has THEN 0.5::DOUBLE * coalesce(b, 0) + 0.5::DOUBLE * coalesce(e, 0) ELSE coalesce(b, 0) END, 6) AS score FROM j"""
 O["hybrid_fusion"] = f"WITH {_LEGS}{_FUSE.format('e1')}"
-O["hybrid_degrade"] = f"WITH {_LEGS}, e2 AS (SELECT * FROM e1 WHERE query_id < 2){_FUSE.format('e2')}"
+O["hybrid_degrade"] = f"WITH {_LEGS}, e2 AS (SELECT * FROM e1 WHERE query_id IN (SELECT item_id FROM benchmark WHERE length(text) >= 200)){_FUSE.format('e2')}"
 _NAMES = f"SELECT product_id, lower({strip('n')}) AS name FROM (SELECT product_id, unnest(list_concat([display_name, product_id], aliases)) AS n FROM ({fixtures.PRODUCTS}))"
 O["alias_match"] = f"SELECT DISTINCT query_id, p.product_id FROM ({fixtures.QUERIES}) q JOIN ({_NAMES}) p ON p.name <> '' AND contains(lower(q.text), p.name)"
 O["alias_boost"] = """
 WITH h AS (SELECT doc_id % 3 AS query_id, source AS product_id, doc_id, CAST((doc_id % 100) / 100.0 AS DOUBLE) AS score FROM documents),
-m AS (SELECT DISTINCT doc_id % 3 AS query_id, source AS product_id FROM documents WHERE doc_id < 30)
+m AS (SELECT DISTINCT doc_id % 3 AS query_id, source AS product_id FROM documents WHERE n_chars > 6000)
 SELECT h.query_id, h.product_id, doc_id, round(CASE WHEN m.query_id IS NOT NULL THEN least(1.0::DOUBLE, score + 0.15::DOUBLE) ELSE score END, 6) AS score FROM h LEFT JOIN m ON h.query_id = m.query_id AND h.product_id = m.product_id"""
 O["subquery_merge"] = """
 WITH h AS (SELECT doc_id % 5 AS query_id, doc_id % 7 AS sub_ord, doc_id % 40 AS chunk_id, CAST((n_chars % 50) / 50.0 AS DOUBLE) AS score FROM documents),
@@ -316,8 +336,8 @@ i1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_rank ORDER BY p
 catalog AS (SELECT query_id, '图-' || k AS image_id, k AS vision_index, rel_path, '/kb_images/' || regexp_replace(rel_path, '^images/', '') AS display_url, {_T} AS section_title, coalesce({captions('content')}[nth], '') AS caption_hint FROM i1 WHERE k <= 5)"""
 O["image_catalog"] = f"WITH {_CATALOG} SELECT * FROM catalog"
 _RANKED = """
-rd AS (SELECT doc_id % 6 AS query_id, doc_id // 6 + 1 AS rank, doc_id AS chunk_id, source AS display_name, CASE WHEN doc_id % 4 > 0 THEN lang END AS section_title, source, text AS content, CAST(1.0::DOUBLE - doc_id / 64.0::DOUBLE AS DOUBLE) AS score,
-       CASE WHEN doc_id // 6 = 0 THEN ['images/d/a.png', 'images/d/c.png'] ELSE CAST([] AS VARCHAR[]) END AS image_paths FROM documents WHERE doc_id < 60)"""
+rd AS (SELECT doc_id // 10 AS query_id, doc_id % 10 + 1 AS rank, doc_id AS chunk_id, source AS display_name, CASE WHEN doc_id % 4 > 0 THEN lang END AS section_title, source, text AS content, CAST(1.0::DOUBLE - (doc_id % 10) / 64.0::DOUBLE AS DOUBLE) AS score,
+       CASE WHEN doc_id % 10 = 0 THEN ['images/d/a.png', 'images/d/c.png'] ELSE CAST([] AS VARCHAR[]) END AS image_paths FROM documents)"""
 _LINE = "'  - [' || c.image_id || '] ' || c.display_url || CASE WHEN c.caption_hint <> '' THEN '（' || c.caption_hint || '）' ELSE '' END || ' [随附视觉输入第' || c.vision_index || '张]'"
 # scores are multiples of 1/64, where rounding half up and half to even may differ in the third place: 5 is added in the sixth
 O["context_text"] = f"""
@@ -343,11 +363,11 @@ O["sync_diff"] = f"""
 SELECT product_id, CASE WHEN NOT configured OR (sha256 IS NULL AND old_sha IS NOT NULL) THEN 'removed' WHEN sha256 IS NULL THEN 'missing' WHEN old_sha IS NULL THEN 'new'
        WHEN sha256 = old_sha AND mtime = old_mtime AND coalesce(old_doc, '') <> '' THEN 'unchanged' ELSE 'changed' END AS status FROM ({fixtures.SNAPSHOTS})"""
 O["sync_apply"] = """
-SELECT doc_id AS chunk_id, text AS content, source AS product_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0
-UNION ALL SELECT doc_id, 'new ' || text, source FROM documents WHERE doc_id % 5 = 0"""
-O["sync_payload"] = "SELECT doc_id AS chunk_id FROM documents WHERE doc_id % 35 = 0"
+SELECT doc_id AS chunk_id, text AS content, source AS product_id FROM documents WHERE source <> 'src1' AND length(text) BETWEEN 200 AND 1000
+UNION ALL SELECT doc_id, CASE WHEN length(text) > 1000 THEN 'new ' || text ELSE text END, source FROM documents WHERE length(text) > 1000 OR source = 'src1'"""
+O["sync_payload"] = "SELECT doc_id AS chunk_id FROM documents WHERE (length(text) > 1000 OR source = 'src1') AND trim(text) <> ''"
 O["tombstones"] = "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS chunk_id FROM documents WHERE length(source) = 4"
-O["remove_documents"] = "SELECT doc_id AS chunk_id, 'doc-' || md5(source) AS full_doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id < 5)"
+O["remove_documents"] = "SELECT doc_id AS chunk_id, 'doc-' || md5(source) AS full_doc_id FROM documents WHERE source >= 'src1'"
 O["manifest_entries"] = """
 SELECT source AS product_id, 'x.pdf' AS source_pdf, 'doc-' || md5(source) AS full_doc_id, array_to_string(list(CAST(doc_id AS VARCHAR) ORDER BY doc_id), ',') AS chunk_ids,
        CASE WHEN source <> 'src0' THEN sha256(source) END AS pdf_sha256, CASE WHEN source <> 'src0' THEN 1.5::DOUBLE END AS pdf_mtime FROM documents GROUP BY source"""

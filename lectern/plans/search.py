@@ -41,7 +41,7 @@ class Engine:
         asked = embed(queries, "query_id", "text", self.embedder, to="vector").join(queries.select("query_id", "product_id"), "query_id")
         vectors = self.vectors.join(self.chunks.select("chunk_id", F.col("product_id").alias("owner")), "chunk_id")
         rows = vectors.join(broadcast_small(asked), (F.coalesce("product_id", F.lit("")) == "") | (F.col("owner") == F.col("product_id")))
-        scored = rows.select("query_id", "chunk_id", retrieval.cosine(F.col("embedding"), F.col("vector")).alias("score"))
+        scored = rows.select("query_id", "chunk_id", F.round(retrieval.cosine(F.col("embedding"), F.col("vector")), 9).alias("score"))
         near = retrieval.min_max(retrieval.top_per_query(scored, fetch)).select("query_id", "chunk_id", F.col("score").alias("emb_score"))
         return retrieval.fuse(terms, near)
 

@@ -32,8 +32,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").filter("item_id < 5")
-    return rows.select(F.col("item_id").alias("query_id"), F.left("text", F.lit(40)).alias("text"), F.lit(None).cast("string").alias("product_id"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.lit(None).cast("string").alias("product_id"))
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -56,7 +55,7 @@ def token_count_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def char_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.bigrams(F.substring_index("text", "\n", 1))).alias("gram"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.bigrams(F.col("text"))).alias("gram"))
     return d.groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
 
 
@@ -133,9 +132,14 @@ def answer_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = retrieval.build_index(corpus(spark, sf_dir))
-    df = index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    return rounded(df.join(index.terms, "term"), "idf")
+    return rounded(retrieval.build_index(corpus(spark, sf_dir)).terms.select("term", "df", "cf", "idf"), "idf")
+
+
+@query
+def bm25_han(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manuals = spark.sql(fixtures.MANUALS).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.lit(None).cast("string").alias("product_id"))
+    hits = retrieval.bm25_scores(retrieval.build_index(manuals), spark.sql(fixtures.QUERIES).select("query_id", "text"))
+    return rounded(hits.select("query_id", F.col("chunk_id").alias("doc_id"), "score"), "score")
 
 
 @query
@@ -154,16 +158,18 @@ def minmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    asked = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))  # the search set, against all rows
     hits = retrieval.vector_hits(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, 10)
     return rounded(hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "score"), "score")
 
 
 def _legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    terms = retrieval.term_leg(retrieval.build_index(corpus(spark, sf_dir)), benchmark_queries(spark, sf_dir), 50)
+    """Both legs of every benchmark item; the vector of the same number plays its embedding."""
+    asked = benchmark_queries(spark, sf_dir)
+    terms = retrieval.term_leg(retrieval.build_index(corpus(spark, sf_dir)), asked, 50)
     e = table(spark, sf_dir, "embeddings")
-    asked = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return terms, retrieval.vector_leg(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, 50)
+    vectors = e.join(asked, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("vector"))
+    return terms, retrieval.vector_leg(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), vectors, 50)
 
 
 @query
@@ -173,8 +179,10 @@ def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hybrid_degrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As if only the longer texts had been embedded."""
     terms, vectors = _legs(spark, sf_dir)
-    return rounded(retrieval.fuse(terms, vectors.filter("query_id < 2")), "score")
+    long = benchmark_queries(spark, sf_dir).filter(F.length("text") >= 200).select("query_id")
+    return rounded(retrieval.fuse(terms, vectors.join(long, "query_id", "left_semi")), "score")
 
 
 @query
@@ -186,7 +194,7 @@ def alias_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alias_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     hits = d.select((F.col("doc_id") % 3).alias("query_id"), F.col("source").alias("product_id"), "doc_id", ((F.col("doc_id") % 100) / 100.0).cast("double").alias("score"))
-    marks = d.filter("doc_id < 30").select((F.col("doc_id") % 3).alias("query_id"), F.col("source").alias("product_id"))
+    marks = d.filter("n_chars > 6000").select((F.col("doc_id") % 3).alias("query_id"), F.col("source").alias("product_id"))
     return rounded(retrieval.boost_products(hits, marks), "score")
 
 
@@ -327,8 +335,8 @@ def image_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("doc_id < 60")
-    rows = d.select((F.col("doc_id") % 6).alias("query_id"), (F.floor(F.col("doc_id") / 6) + 1).cast("int").alias("rank"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("display_name"), F.when(F.col("doc_id") % 4 > 0, F.col("lang")).alias("section_title"), F.col("source"), F.col("text").alias("content"), (F.lit(1.0) - F.col("doc_id") / 64.0).cast("double").alias("score"))
+    d = table(spark, sf_dir, "documents")  # ten hits a query
+    rows = d.select(F.floor(F.col("doc_id") / 10).alias("query_id"), (F.col("doc_id") % 10 + 1).cast("int").alias("rank"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("display_name"), F.when(F.col("doc_id") % 4 > 0, F.col("lang")).alias("section_title"), F.col("source"), F.col("text").alias("content"), (F.lit(1.0) - (F.col("doc_id") % 10) / 64.0).cast("double").alias("score"))
     return rows.withColumn("image_paths", F.when(F.col("rank") == 1, F.array(F.lit("images/d/a.png"), F.lit("images/d/c.png"))))
 
 
@@ -365,10 +373,10 @@ def sync_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A collection before one source was added; its rows that are new or changed (long ones with a note); rows that are too short and go."""
     d = corpus(spark, sf_dir)
-    old = d.filter("chunk_id % 3 <> 0")
-    new = d.filter("chunk_id % 5 = 0").withColumn("content", F.concat(F.lit("new "), "content"))
-    return old, new, d.filter("chunk_id % 7 = 0").select("chunk_id")
+    new = d.withColumn("content", F.when(F.length("content") > 1000, F.concat(F.lit("new "), "content")).otherwise(F.col("content")))
+    return d.filter("product_id <> 'src1'"), new.filter("length(content) > 1000 OR product_id = 'src1'"), d.filter("length(content) < 200").select("chunk_id")
 
 
 @query
@@ -378,8 +386,7 @@ def sync_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sync_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new, ids = _versions(spark, sf_dir)
-    return sync.sync_payload(new, ids).select("chunk_id")
+    return sync.sync_payload(corpus(spark, sf_dir), _versions(spark, sf_dir)[1].select("chunk_id")).select("chunk_id")
 
 
 @query
@@ -392,7 +399,7 @@ def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def remove_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = corpus(spark, sf_dir).withColumn("full_doc_id", T.doc_id(F.col("product_id")))
-    return sync.without_documents(d, d.filter("chunk_id < 5")).select("chunk_id", "full_doc_id")
+    return sync.without_documents(d, d.filter("product_id < 'src1'")).select("chunk_id", "full_doc_id")
 
 
 @query
