@@ -35,8 +35,24 @@ def roots(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return node[order[linked_roots(len(node), place[a], place[b])[place]]]
 
 
-def by_group(keys: list[str], unit: Callable[[pd.DataFrame], pd.DataFrame | None]):
-    """A mapInPandas function for rows sorted by keys: unit gets the rows of each key once, all together."""
+#: Groups of up to so many rows are handled many at a time, where there is a form for that.
+FEW = 64
+
+
+def pairs_within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of one group, for groups of these sizes that stand one after the other."""
+    begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    left = np.arange(len(begin))
+    many = np.repeat(np.cumsum(sizes), sizes) - left - 1  # rows of the group behind this one
+    a = np.repeat(left, many)
+    return a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+
+
+def by_group(keys: list[str], unit: Callable[[pd.DataFrame], pd.DataFrame | None], few: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame | None] | None = None):
+    """A mapInPandas function for rows sorted by keys: unit gets the rows of each key once, all together.
+
+    few: gets the rows of all small groups that are one block, with the groups' sizes, instead.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -51,12 +67,19 @@ def by_group(keys: list[str], unit: Callable[[pd.DataFrame], pd.DataFrame | None
                 continue
             k = part[keys].to_numpy()
             cuts = np.nonzero((k[1:] != k[:-1]).any(1))[0] + 1
-            ends, at, out = [*cuts, *([len(part)] if batch is None else [])], 0, []
-            for end in ends:
+            ends = np.array([*cuts, *([len(part)] if batch is None else [])], np.int64)
+            starts, out = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)], []
+            sizes = ends - starts
+            small = np.zeros(len(ends), bool)
+            if few is not None and len(ends):
+                small = (sizes <= FEW) & (part["i"].to_numpy()[starts] == part["j"].to_numpy()[starts])
+                some = small & (sizes > 1)
+                if some.any() and (done := few(part[np.repeat(np.append(some, False), np.append(sizes, len(part) - ends[-1]))], sizes[some])) is not None:
+                    out.append(done)
+            for at, end in zip(starts[~small].tolist(), ends[~small].tolist(), strict=True):
                 if end - at > 1 and (done := unit(part.iloc[at:end])) is not None:
                     out.append(done)
-                at = end
-            held = [] if batch is None else [part.iloc[at:]]
+            held = [] if batch is None else [part.iloc[int(ends[-1]) if len(ends) else 0 :]]
             if out:
                 yield pd.concat(out, ignore_index=True)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm._shared import drop_stored, stored
-from lectern.llm.blocks import by_group, dealt, once, roots, sides
+from lectern.llm.blocks import by_group, dealt, once, pairs_within, roots, sides
 from lectern.llm.components import connected_components
 from lectern.session import ship_package
 
@@ -134,28 +134,38 @@ def _hashed(plans: dict[int, tuple[int, int]], kind: str):
     return run
 
 
+def _hang_together(part: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> pd.DataFrame | None:
+    node = part["node"].to_numpy()
+    root = roots(node, a, b)
+    some = root != node
+    return pd.DataFrame({"a": node[some], "b": root[some]}) if some.any() else None
+
+
 def _may_link(threshold: float):
-    """A bucket's rows (node, s0, s1) to (a, b): who hangs together there, by sketches."""
+    """A bucket's rows (node, s0, s1) to (a, b): who hangs together there, by sketches; a form for one bucket, and one for many small ones."""
     share = math.acos(min(1.0, max(-1.0, threshold))) / math.pi
     most = SKETCH * share + DOUBT * math.sqrt(SKETCH * share * (1 - share)) + 1
+    apart = lambda s, t: np.bitwise_count(s[..., 0] ^ t[..., 0]) + np.bitwise_count(s[..., 1] ^ t[..., 1])
+    sketch = lambda part: np.ascontiguousarray(part[["s0", "s1"]].to_numpy()).view(np.uint64)
 
     def unit(part: pd.DataFrame) -> pd.DataFrame | None:
-        node = part["node"].to_numpy()
-        s = np.ascontiguousarray(part[["s0", "s1"]].to_numpy()).view(np.uint64)
-        left, right, same = sides(part)
+        s = sketch(part)
+        left, right, _ = sides(part)
         a, b = [], []
         for at in range(0, len(left), 256):
             rows = left[at : at + 256]
-            far = np.bitwise_count(s[rows, 0][:, None] ^ s[right, 0][None, :]) + np.bitwise_count(s[rows, 1][:, None] ^ s[right, 1][None, :])
-            x, y = np.nonzero(far <= most)
+            x, y = np.nonzero(apart(s[rows][:, None], s[right][None]) <= most)
             a.append(rows[x])
             b.append(right[y])
-        a, b = np.concatenate(a), np.concatenate(b)
-        root = roots(node, a, b)
-        some = root != node
-        return pd.DataFrame({"a": node[some], "b": root[some]}) if some.any() else None
+        return _hang_together(part, np.concatenate(a), np.concatenate(b))
 
-    return unit
+    def few(part: pd.DataFrame, sizes: np.ndarray) -> pd.DataFrame | None:
+        s = sketch(part)
+        a, b = pairs_within(sizes)
+        near = apart(s[a], s[b]) <= most
+        return _hang_together(part, a[near], b[near])
+
+    return unit, few
 
 
 def _verify(threshold: float, kind: str):
@@ -197,7 +207,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     crowded = met.groupBy("bucket").count().filter(F.col("count") > BLOCK)
     crowded = stored(crowded.select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "crowded")
     rows = met.join(crowded, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    maybe = stored(dealt(rows, "bucket").mapInPandas(by_group(["bucket", "i", "j"], _may_link(threshold)), "a long, b long").distinct(), "candidates")
+    maybe = stored(dealt(rows, "bucket").mapInPandas(by_group(["bucket", "i", "j"], *_may_link(threshold)), "a long, b long").distinct(), "candidates")
     drop_stored(met)
     groups = stored(connected_components(maybe), "groups")
 
