@@ -55,8 +55,12 @@ class Collection:
         out = self._fs.create(staged, True)
         out.write(bytearray(version.encode()))
         out.close()
-        self._fs.delete(final, False)
-        self._fs.rename(staged, final)
+        jvm, places = self.spark.sparkContext._jvm, (self._fs.makeQualified(staged), self._fs.makeQualified(final))
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = self.spark.sparkContext._gateway.new_array(kind, 1)
+        over[0] = kind.OVERWRITE
+        # one step: whoever reads, or a crash, finds the old pointer or the new one
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(*places, over)
         self._cached.pop(name, None)
 
     def drop(self, name: str) -> None:
@@ -107,6 +111,11 @@ def write_chunk_map(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def read_chunk_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What write_chunk_map() wrote."""
+    return spark.read.schema(schema.CHUNKS).json(path, mode="FAILFAST")
+
+
 def metadata(chunks: DataFrame) -> DataFrame:
     """chunks with scalar metadata only: lists joined by semicolons, nested values as JSON, content left out."""
     out = []

@@ -14,7 +14,7 @@ from lectern.plans.ingest import ingest
 from lectern.plans.search import Engine
 from lectern.sources import docx, images, manuals, products, tables
 from lectern.streaming import answers
-from lectern.streaming.ingest import start_ingest
+from lectern.streaming.ingest import merge_batch, start_ingest
 
 LONG = "登录平台时请输入账号和密码，忘记密码时点击找回，并按提示完成验证码校验之后重新设置。" * 3
 
@@ -128,6 +128,30 @@ def test_stream_equals_batch(spark, setup):
     start_ingest(spark, str(folder / "md"), streamed, known, str(folder / "cp"), now=1, once=True).awaitTermination()
     titles = {r["section_title"] for r in streamed.read("chunks", schema.CHUNKS).collect()}
     assert titles == {"账号登录", "报表导出", "设备管理"}
+    assert not streamed.exists("vectors") and streamed.exists("sections")
+
+
+def test_stream_drops_chunks_of_emptied_documents(spark, setup):
+    folder, known, kb = setup
+    streamed = tables.Collection(spark, str(folder / "kb4"))
+    start = lambda: start_ingest(spark, str(folder / "md"), streamed, known, str(folder / "cp4"), now=1, once=True, embedder=providers.HashedEmbedder).awaitTermination()
+    start()
+    ids = {r["chunk_id"] for r in streamed.read("chunks", schema.CHUNKS).collect()}
+    assert {r["chunk_id"] for r in streamed.read("vectors", schema.VECTORS).collect()} == ids and len(ids) == 3
+    (folder / "md" / "手册乙.md").write_text("# 设备管理\n短", encoding="utf-8")
+    batch = manuals.read_markdown(spark, str(folder / "md")).filter("md_stem = '手册乙'")
+    merge_batch(streamed, known, 1, providers.HashedEmbedder)(batch, 1)
+    left = {r["chunk_id"] for r in streamed.read("chunks", schema.CHUNKS).collect()}
+    assert left < ids and len(left) == 2
+    assert {r["chunk_id"] for r in streamed.read("vectors", schema.VECTORS).collect()} == left
+
+
+def test_pointer_moves_in_one_step(spark, tmp_path):
+    kb = tables.Collection(spark, str(tmp_path / "kb"))
+    for k in range(3):
+        kb.write("tombstones", spark.createDataFrame([(str(k),)], schema.TOMBSTONES))
+    assert [r["chunk_id"] for r in kb.read("tombstones", schema.TOMBSTONES).collect()] == ["2"]
+    assert not list((tmp_path / "kb" / "tombstones").glob("staged-*"))
 
 
 def test_upsert_is_idempotent(spark):
@@ -183,6 +207,9 @@ def test_chunk_maps(spark, tmp_path):
         tables.read_chunk_map(spark, str(tmp_path / "list.json")).collect()
     flat = tables.metadata(tables.read_chunk_map(spark, str(tmp_path / "kv.json"))).first()
     assert flat["image_paths"] == "a" and "content" not in flat.asDict()
+    chunks = tables.read_chunk_map(spark, str(tmp_path / "kv.json"))
+    tables.write_chunk_map(chunks, str(tmp_path / "lines"))
+    assert tables.read_chunk_lines(spark, str(tmp_path / "lines")).collect() == chunks.collect()
 
 
 def test_providers(spark):
