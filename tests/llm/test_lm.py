@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 
 from lectern.llm import context_mixing as cm
 from lectern.llm import lm_scoring
@@ -190,3 +191,55 @@ def test_every_context_keeps_its_own_counts():
             ones = sum(k for s, k in same.items() if s >> (7 - bit) & 1)
             zeros, y = sum(same.values()) - ones, ord(symbol) >> (7 - bit) & 1
             assert found[bit] == np.clip(np.rint(np.log((ones - less * y + 0.4) / (zeros - less * (1 - y) + 0.4)) * cm.SCALE), -127, 127)
+
+
+def test_every_context_is_counted():
+    """What follows is known after each pair of tokens that occurs twice in training texts, whatever the pair's hash and the group's range."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abc") for _ in range(2)) for _ in range(30)]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(30)]
+    train = [k % 4 > 0 for k in range(30)]
+    follows = collections.defaultdict(collections.Counter)
+    for text, learnt in zip(texts, train, strict=True):
+        tokens = [*text.split(), None]
+        for k in range(2, len(tokens) if learnt else 0):
+            follows[tokens[k - 2], tokens[k - 1]][tokens[k]] += 1
+    sent = [pd.DataFrame({"grp": [k // 10 for k in range(30)], "train": train, "text": texts})]
+    counted_ = pd.concat(lm_scoring._context_counts(7)(iter(sent)))
+    found = pd.concat([lm_scoring._expected((r,), part) for r, part in counted_.groupby("range")])
+    for grp in range(3):
+        tokens = cm.Tokens([t.encode() for t in texts[10 * grp : 10 * grp + 10]])
+        known = dict(zip(["context", "follow", "most", "times"], lm_scoring._put_together(found["data"][found["grp"] == grp].tolist(), 3), strict=True))
+        letters = [tokens.data[s : s + n].tobytes().decode() for s, n in zip(tokens.start, tokens.length, strict=True)]
+        check = {int(c): None if w == "\n" else w for c, w in zip(cm.checks(tokens.keys), letters, strict=True)}
+        contexts, asked = tokens.contexts(), set()
+        for k in np.nonzero(tokens.places()[1] > 1)[0]:
+            pair = letters[tokens.which[k - 2]], letters[tokens.which[k - 1]]
+            after = follows[pair]
+            at = np.searchsorted(known["context"], contexts[k])
+            there = at < len(known["context"]) and known["context"][at] == contexts[k]
+            assert there == (after.total() > 1)
+            if there:
+                asked.add(int(contexts[k]))
+                most = max(after.values())
+                assert (known["most"][at], known["times"][at]) == (most, after.total())
+                follow = int(known["follow"][at])
+                assert follow not in check or after[check[follow]] == most
+        assert asked == set(known["context"].tolist())
+
+
+def test_packed_counts_are_read_back():
+    contexts = np.array([1, 2, 1 << 40, (1 << 64) - 1], np.uint64)
+    back = lm_scoring._unpacked(lm_scoring._packed(contexts, np.array([1, 300, 1 << 40, 0]), np.array([9, -8, 7, 6])), 2)
+    assert [b.tolist() for b in back] == [contexts.tolist(), [1, 300, 1 << 40, 0], [9, -8, 7, 6]]
+
+
+def test_a_rare_kind_has_its_own_centre(spark):
+    """Five texts among 3,000 are of other words: no 512 smallest hashes need to hold one of them, but all texts are drawn from."""
+    rng = random.Random(9)
+    rows = [(" ".join(rng.choice("abcdefgh") for _ in range(60)),) for _ in range(3000)]
+    rare = [" ".join(f"{w}{w}" for w in rng.choices("uvwxyz", k=60)) for _ in range(5)]
+    centres = lm_scoring.fit_kinds(spark.createDataFrame(rows + [(t,) for t in rare], "text string"))
+    vectors = cm.kind_vectors(cm.Tokens([t.encode() for t in [*rare, *(r[0] for r in rows[:200])]]))
+    own = np.argmax(vectors @ centres.T, axis=1)
+    assert len({*own[:5]}) == 1 and own[0] not in own[5:]
