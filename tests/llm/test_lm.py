@@ -234,6 +234,70 @@ def test_packed_counts_are_read_back():
     assert [b.tolist() for b in back] == [contexts.tolist(), [1, 300, 1 << 40, 0], [9, -8, 7, 6]]
 
 
+def test_contexts_are_counted_apart_when_first_bits_agree():
+    """What follows is told apart by all its bits, also where those that share a number with the context are the same."""
+    rng = random.Random(6)
+    rows = [(rng.choice([5, 6, (1 << cm.CONTEXT_BITS) - 1]), rng.choice([1, 3, 5, 0x80000001, 0x80000003])) for _ in range(500)]
+    n = [rng.randint(0, 3) for _ in rows]
+    want = collections.Counter()
+    for row, k in zip(rows, n, strict=True):
+        want[row] += k
+    contexts, follow, sums = cm.context_counts(np.array([c for c, _ in rows], np.uint64), np.array([f for _, f in rows], np.uint32), np.array(n))
+    assert list(zip(contexts.tolist(), follow.tolist(), sums.tolist(), strict=True)) == [(*row, want[row]) for row in sorted(want)]
+
+
+def test_tokens_are_summed_over_groups_in_packed_arrays():
+    """Each group is answered by the counts in all groups' training texts, in one row of each range, however many tokens there are."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(150)) for _ in range(30)] + ["", "onlyheldout one"]
+    train = [k % 4 > 0 for k in range(31)] + [False]
+    sent = [pd.DataFrame({"grp": [k // 12 for k in range(32)], "train": train, "text": texts})]
+    gathered = pd.concat(lm_scoring._gather(np.eye(cm.KINDS, cm.KIND_WIDTH), 5)(iter(sent)))
+    assert len(gathered) <= 3 * 5
+    found = pd.concat([lm_scoring._summed((r,), part) for r, part in gathered.groupby("range")])
+    learnt = collections.Counter(w for t, y in zip(texts, train, strict=True) if y for w in [*t.split(), None])
+    assert found[lm_scoring._COUNTS].to_numpy().sum() == learnt.total() and found["known"].sum() == len(learnt)
+    for grp in range(3):
+        tokens = cm.Tokens([t.encode() for t in texts[12 * grp : 12 * grp + 12]])
+        letters = [tokens.data[s : s + n].tobytes().decode() for s, n in zip(tokens.start, tokens.length, strict=True)]
+        want = [learnt[None if w == "\n" else w] for w in letters]
+        mine = found[found["grp"] == grp]
+        keys, *n = lm_scoring._put_together(mine["data"][mine["what"] == lm_scoring.TOKENS].tolist(), cm.KINDS)
+        assert keys.tolist() == tokens.keys.tolist() and sum(n).tolist() == want
+        (strange,) = lm_scoring._put_together(mine["data"][mine["what"] == lm_scoring.SPELLED].tolist(), 0)
+        assert strange.tolist() == [k for k, c in zip(keys.tolist(), want, strict=True) if not c]
+    for _, row in found[found["what"] == lm_scoring.CHUNK].iterrows():
+        tokens, known = lm_scoring._chunk_tokens(pd.DataFrame([row]))
+        for s, n, y in zip(tokens.start, tokens.length, known, strict=True):
+            word = tokens.data[s : s + n].tobytes().decode()
+            assert (learnt[None if word == "\n" else word] > 0) == y
+
+
+def test_spelling_counts_are_summed_over_chunks():
+    """Each chunk is sent the counts, over all chunks, of every symbol that follows one of its own contexts of bytes."""
+    chunks = [["abc", "abd", "xyz"], ["abe", "q"], ["xya", "abc1"]]
+    sent = []
+    for k, words in enumerate(chunks):
+        tokens = cm.Tokens([" ".join(words).encode()])
+        data = lm_scoring._packed_tokens(tokens.keys, tokens.length.astype(np.uint32), tokens.letters(), np.ones((1, len(tokens.keys)), np.uint32))
+        sent += lm_scoring._contexts(4)(iter([pd.DataFrame({"chunk": [k], "data": [data]})]))
+    sums = pd.concat([lm_scoring._context_sums((r,), part) for r, part in pd.concat(sent).groupby("range")])
+    every = [cm.pair_counts(t := cm.Tokens([" ".join(words).encode()]), np.arange(len(t.keys))) for words in chunks]
+    total = collections.Counter()
+    for pairs, n in every:
+        total.update(dict(zip(pairs.tolist(), n.tolist(), strict=True)))
+    for k, (pairs, _) in enumerate(every):
+        own = {p >> 8 for p in pairs.tolist()}
+        found = lm_scoring._put_together(sums["data"][sums["chunk"] == k].tolist(), 1)
+        assert dict(zip(*(a.tolist() for a in found), strict=True)) == {p: n for p, n in total.items() if p >> 8 in own}
+
+
+def test_packed_numbers_take_the_bytes_that_they_need():
+    keys = np.arange(1000, dtype=np.uint64) * np.uint64(200)
+    assert len(lm_scoring._packed(keys, np.ones(1000, np.int64), np.full(1000, 1 << 20))) < 1000 * 5 + 10
+
+
 def test_a_rare_kind_has_its_own_centre(spark):
     """Five texts among 3,000 are of other words: no 512 smallest hashes need to hold one of them, but all texts are drawn from."""
     rng = random.Random(9)
