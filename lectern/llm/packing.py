@@ -83,16 +83,25 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     return encode
 
 
+_terms: dict[str, np.ndarray] = {}
+
+
+def _term_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(waits [KEYS, terms], keys [terms]) of at least the first `size` terms: a document's first term to come is its minimum hash."""
+    if len(_terms.get("keys", ())) < size:
+        terms = np.arange(1 << (size - 1).bit_length(), dtype=np.uint64)
+        weight = np.log1p(terms.astype(np.float64) / 256)  # ids of the vocabulary come in the order of their frequency
+        u = [(mix(terms + np.uint64((k + 1) << 40)) >> np.uint64(11)).astype(np.float64) / 2**53 for k in range(KEYS)]
+        _terms["waits"] = np.stack([-np.log(np.maximum(x, 1e-300)) / np.maximum(weight, 1e-6) for x in u])
+        _terms["keys"] = (mix(terms) >> np.uint64(33)).astype(np.int64)
+    return _terms["waits"], _terms["keys"]
+
+
 def likeness_keys(ids: np.ndarray) -> list[int]:
     """KEYS weighted minimum hashes of a document's distinct ids: two documents share one with the weight of what they share."""
-    terms = np.unique(ids).astype(np.uint64)
-    weight = np.log1p(terms.astype(np.float64) / 256)  # ids of the vocabulary come in the order of their frequency
-    out = []
-    for k in range(KEYS):
-        u = (mix(terms + np.uint64((k + 1) << 40)) >> np.uint64(11)).astype(np.float64) / 2**53
-        best = np.argmin(-np.log(np.maximum(u, 1e-300)) / np.maximum(weight, 1e-6))
-        out.append(int(mix(terms[best : best + 1])[0] >> np.uint64(33)))
-    return out
+    waits, keys = _term_tables(int(ids.max()) + 1)
+    at = ids.astype(np.intp)
+    return [int(keys[at[np.argmin(row[at])]]) for row in waits]
 
 
 def _cut(vocabulary: str, window: int, end_id: int):
@@ -125,12 +134,12 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total, tokens = np.zeros(0, np.int64), 0
     for batch in batches:
         for rest, wide in zip(batch["rest"], batch["wide"], strict=True):
-            terms = np.unique(ids := _ids(rest, wide))
+            ids = _ids(rest, wide)
             tokens += len(ids)
-            if len(terms):
-                if terms[-1] >= len(total):
-                    total = np.concatenate([total, np.zeros(int(terms[-1]) + 1024 - len(total), np.int64)])
-                total[terms] += 1
+            if len(ids):
+                if (top := int(ids.max())) >= len(total):
+                    total = np.concatenate([total, np.zeros(top + 1024 - len(total), np.int64)])
+                total[ids] += 1  # once for each distinct id, however often it is named
     seen = np.nonzero(total)[0]
     yield pd.DataFrame({"term": [*seen.tolist(), -1], "df": [*total[seen].tolist(), tokens]})
 
@@ -155,14 +164,16 @@ class Bm25Shard:
         n = len(docs)
         size = np.array([len(d) for d in docs], np.int64)
         owner = np.repeat(np.arange(n), size)
-        terms, place = np.unique(np.concatenate([*docs, np.array([], np.int64)]).astype(np.int64), return_inverse=True)
+        every = np.concatenate([*docs, np.array([], np.int64)]).astype(np.int64)
+        held = np.bincount(every) > 0
+        terms, place = np.nonzero(held)[0], (np.cumsum(held) - 1)[every]
         pairs, tf = np.unique(place * n + owner, return_counts=True)
         term, self.owner = pairs // n, pairs % n
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))])
         df = corpus.df[terms]
         idf = np.log(1 + (corpus.n - df + 0.5) / (df + 0.5))
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.owner] / max(corpus.mean, 1)))
-        by_doc = np.argsort(self.owner, kind="stable")
+        by_doc = np.argsort(self.owner.astype(np.uint16) if n <= 1 << 16 else self.owner, kind="stable")
         self.terms_of = np.split(term[by_doc], np.cumsum(np.bincount(self.owner, minlength=n))[:-1])
         self.n = n
 
@@ -175,6 +186,16 @@ class Bm25Shard:
         return np.bincount(self.owner[at], self.weight[at], self.n)
 
 
+def _best_first(score: np.ndarray, few: int = 16) -> Iterator[int]:
+    """Places by falling score, the smaller first of equals; beyond the few best, which mostly do, the rest is sorted when it is asked for."""
+    rest = np.arange(len(score))
+    if len(score) > few:
+        least = np.partition(score, len(score) - few)[len(score) - few]
+        top, rest = np.nonzero(score >= least)[0], np.nonzero(score < least)[0]
+        yield from top[np.argsort(-score[top], kind="stable")].tolist()
+    yield from rest[np.argsort(-score[rest], kind="stable")].tolist()
+
+
 def fill_windows(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (doc, start, length) that use every id of docs once; only the last ones may be short, of power-of-two lengths."""
     index = Bm25Shard(docs, corpus or Corpus.of(docs))
@@ -187,8 +208,7 @@ def fill_windows(docs: list[np.ndarray], window: int, corpus: Corpus | None = No
         left[seed], at[seed] = 0, len(docs[seed])
         if room:
             score = np.where(left > 0, index.scores(seed), -1.0)
-            order = np.argsort(-score, kind="stable")
-            for doc in order.tolist():
+            for doc in _best_first(score):
                 if not room or not left[doc]:
                     break
                 take = int(min(room, left[doc]))

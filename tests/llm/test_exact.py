@@ -117,6 +117,30 @@ def test_tokens_like_the_library():
     assert token_counts.count_tokens(counter(VOCABULARY), [long], block=300).tolist() == [len(library.encode(long, add_special_tokens=False).ids)]
 
 
+def test_packing_draws_the_hashes_of_a_term_once(monkeypatch):
+    """Minimum hashes come from a table of terms: hashes are drawn for new terms alone, and the keys are those of the definition."""
+    rng = np.random.default_rng(4)
+    docs = [rng.zipf(1.3, 400).clip(max=49_999).astype("<u4") for _ in range(30)]
+    packing.likeness_keys(np.array([49_999], "<u4"))
+    drawn, mix = [], packing.mix
+    monkeypatch.setattr(packing, "mix", lambda h: (drawn.append(len(h)), mix(h))[1])
+    found = [packing.likeness_keys(ids) for ids in docs]
+    assert not drawn
+    for ids, keys in zip(docs, found, strict=True):
+        terms = np.unique(ids).astype(np.uint64)
+        for k, key in enumerate(keys):
+            u = (mix(terms + np.uint64((k + 1) << 40)) >> np.uint64(11)).astype(float) / 2**53
+            best = np.argmin(-np.log(u) / np.maximum(np.log1p(terms.astype(float) / 256), 1e-6))
+            assert key == int(mix(terms[best : best + 1])[0] >> np.uint64(33))
+
+
+def test_packing_neighbours_come_in_the_order_of_a_whole_sort():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 16, 17, 500):
+        score = rng.integers(-1, 6, n).astype(float)
+        assert list(packing._best_first(score)) == np.argsort(-score, kind="stable").tolist()
+
+
 def test_packing_round_trip(spark):
     docs = table(spark, SF_SMALL, "documents")
     rows = packing.pack_documents(docs, VOCABULARY).collect()
