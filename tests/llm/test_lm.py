@@ -307,3 +307,39 @@ def test_a_rare_kind_has_its_own_centre(spark):
     vectors = cm.kind_vectors(cm.Tokens([t.encode() for t in [*rare, *(r[0] for r in rows[:200])]]))
     own = np.argmax(vectors @ centres.T, axis=1)
     assert len({*own[:5]}) == 1 and own[0] not in own[5:]
+
+
+def test_python_is_handed_few_bytes_at_once(spark):
+    """Rows of 20 KB, fewer than a batch may hold: of a table, of a group and of two groups, all are read, a few megabytes at a time."""
+    rows = spark.range(600).selectExpr("id % 2 AS grp", "repeat('x', 20000) AS text").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"most": [b["text"].str.len().sum()]})
+
+    def group_sizes(key, left, right):
+        import pyarrow as pa
+
+        return pa.table({"most": [b["text"].nbytes for b in left.to_batches()]})
+
+    for found in (rows.mapInPandas(sizes, "most long"), rows.groupBy("grp").cogroup(rows.groupBy("grp")).applyInArrow(group_sizes, "most long")):
+        most = [r["most"] for r in lm_scoring._stored(found, "test-batches").collect()]
+        assert 600 * 20_000 <= sum(most) <= 600 * 20_100 and max(most) < 3_000_000
+
+
+def test_a_group_is_scored_where_arrow_holds_it():
+    """Counts that come in rows of several batches, and texts whose bytes Arrow holds, give the scores of text_log."""
+    import pyarrow as pa
+
+    texts = corpus(5)
+    tokens, kinds, spelled, known = counted(texts, np.arange(len(texts)) % 3 > 0)
+    strange = np.nonzero(kinds.sum(axis=0) == 0)[0]
+    rows = [(lm_scoring.TOKENS, lm_scoring._packed(tokens.keys[part], *kinds[:, part])) for part in np.array_split(np.arange(len(tokens.keys)), 3)]
+    rows.append((lm_scoring.SPELLED, lm_scoring._packed(tokens.keys[strange], spelled[strange].view(np.int64))))
+    rows += [(lm_scoring.EXPECTED, lm_scoring._packed(known["context"][part], known["follow"][part, 0].astype(np.int64), known["most"][part], known["times"][part])) for part in np.array_split(np.arange(len(known["context"])), 2)]
+    sent = pa.concat_tables(pa.table({"what": pa.array([what], pa.int32()), "data": pa.array([data], pa.binary())}) for what, data in rows)
+    docs = pa.concat_tables(pa.table({"doc_id": pa.array(range(a, b)), "train": [True] * (b - a), "text": texts[a:b]}) for a, b in ((0, 10), (10, len(texts))))
+    found = lm_scoring._score(kinds.sum(axis=1), pa.int64())((0,), docs, sent)
+    expected = cm.text_log(tokens, kinds, kinds.sum(axis=1), spelled, known) / math.log(10)
+    assert np.allclose(found["score"].to_numpy(), expected, rtol=1e-9) and found["doc_id"].to_pylist() == list(range(len(texts)))
+    assert found["bytes"].to_pylist() == [len(t.encode()) for t in texts]
